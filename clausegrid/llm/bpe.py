@@ -18,7 +18,9 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from clausegrid.llm.common import text_slices
 from clausegrid.llm.unicode_pieces import finder
 
 #: Encoded pieces that a worker keeps.
-KEPT = 250_000
+KEPT = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,29 +41,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class MergeReplay:
     """Encoder for one set of ranks and one pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = KEPT) -> None:
+        self.ranks, self.limit = ranks, limit
         self.tokens = {r: t for t, r in ranks.items()}
         self.cutter = finder(pattern)
-        self.kept: dict[str, list[int]] = {}
+        #: Ranks of the merges of two tokens: by the left one and then the right one, and the other way round.
+        self.rightward: dict[int, dict[int, int]] = {r: {} for r in ranks.values()}
+        self.leftward: dict[int, dict[int, int]] = {r: {} for r in ranks.values()}
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                a, b = ranks.get(t[:i]), ranks.get(t[i:])
+                if a is not None and b is not None:
+                    self.rightward[a][b] = self.leftward[b][a] = r
+        self.of_byte = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
+        self.of_bytes = np.array([ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)], np.int64)
+        #: Ids of each piece, in decimal and joined by spaces; the bytes that such ids stand for.
+        self.kept: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
+
+    def _first_index(self, raw: np.ndarray, ends: np.ndarray) -> dict[int, list[int]]:
+        """Rank -> ascending positions of the pairs of bytes that it joins."""
+        ranks = self.of_bytes[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        ranks[ends[:-1] - 1] = -1
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(ranks[at], prepend=-1))
+        return {r: places.tolist() for r, places in zip(ranks[at[cuts]].tolist(), np.split(at, cuts[1:]))} if len(at) else {}
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece, by one replay over all of them."""
-        ranks, tokens = self.ranks, self.tokens
-        row = [bytes((b,)) for piece in pieces for b in piece]
-        n = len(row)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        starts, at = [], 0
-        for piece in pieces:
-            starts.append(at)
-            if piece:
-                before[at] = -1
-                at += len(piece)
-                after[at - 1] = -1
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q > 0 and (r := ranks.get(row[p] + row[q])) is not None:
-                index.setdefault(r, []).append(p)
+        """Ids of each piece (none empty), by one replay over all of them."""
+        if not pieces:
+            return []
+        rightward, leftward = self.rightward, self.leftward
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(x) for x in pieces])
+        row = self.of_byte[raw].tolist()
+        after, before = list(range(1, len(row) + 1)), list(range(-1, len(row) - 1))
+        for end in ends.tolist():
+            after[end - 1] = -1
+            if end < len(row):
+                before[end] = -1
+        index = self._first_index(raw, ends)
         due = list(index)
         heapq.heapify(due)
         while due:
@@ -70,64 +90,73 @@ class MergeReplay:
             if places is None:
                 continue
             places.sort()
-            merged = tokens[rank]
+            to_right, to_left = rightward[rank].get, leftward[rank].get
             for k, p in enumerate(places):
                 q = after[p]
-                if q < 0 or row[p] + row[q] != merged:
+                if q < 0 or rightward[row[p]].get(row[q]) != rank:
                     continue  # an earlier merge took one of the two
-                row[p], row[q] = merged, b""
+                row[p], row[q] = rank, -1
                 after[p] = right = after[q]
                 after[q] = -1
-                first = rank
+                lowest = rank
                 if right >= 0:
                     before[right] = p
-                    if (r := ranks.get(merged + row[right])) is not None:
-                        if r not in index:
-                            index[r] = []
+                    r = to_right(row[right])
+                    if r is not None:
+                        if r in index:
+                            index[r].append(p)
+                        else:
+                            index[r] = [p]
                             heapq.heappush(due, r)
-                        index[r].append(p)
-                        first = min(first, r)
+                        if r < lowest:
+                            lowest = r
                 left = before[p]
-                if left >= 0 and (r := ranks.get(row[left] + merged)) is not None:
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(due, r)
-                    index[r].append(left)
-                    first = min(first, r)
-                if first < rank and k + 1 < len(places):
+                if left >= 0:
+                    r = to_left(row[left])
+                    if r is not None:
+                        if r in index:
+                            index[r].append(left)
+                        else:
+                            index[r] = [left]
+                            heapq.heappush(due, r)
+                        if r < lowest:
+                            lowest = r
+                if lowest < rank and k + 1 < len(places):
                     index[rank] = places[k + 1 :]
                     heapq.heappush(due, rank)
                     break
-        out = []
-        for piece, p in zip(pieces, starts):
-            ids = []
-            while piece and p >= 0:
-                ids.append(ranks[row[p]])
-                p = after[p]
-            out.append(ids)
+        out, start = [], 0
+        for end in ends.tolist():
+            out.append([i for i in row[start:end] if i >= 0])
+            start = end
         return out
 
-    def learn(self, pieces: Iterable[str]) -> dict[str, list[int]]:
+    def learn(self, pieces: Iterable[str]) -> dict[str, str]:
         """Make sure that the kept pieces have all of these; they are returned."""
-        fresh = [x for x in set(pieces) if x not in self.kept]
-        if len(self.kept) + len(fresh) > KEPT:
-            self.kept = {}
-            fresh = list(set(pieces))
+        asked = set(pieces)
+        fresh = [x for x in asked if x not in self.kept]
+        if len(self.kept) + len(fresh) > self.limit:
+            self.kept, self.decoded = {}, {}
+            fresh = asked
         todo = []
         for x in fresh:
             raw = x.encode()
             if (r := self.ranks.get(raw)) is not None:
-                self.kept[x] = [r]
+                self.kept[x] = str(r)
             else:
                 todo.append((x, raw))
         for (x, _), ids in zip(todo, self.replay([raw for _, raw in todo])):
-            self.kept[x] = ids
+            self.kept[x] = " ".join(map(str, ids))
         return self.kept
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_parts(self, texts: list[str]) -> list[list[str]]:
+        """For each text the ids of its pieces, those of a piece in decimal and joined by spaces."""
         cut = [self.cutter(x).findall(x) for x in texts]
-        kept = self.learn(p for x in cut for p in x)
-        return [[i for p in x for i in kept[p]] for x in cut]
+        kept = self.learn(chain.from_iterable(cut))
+        return [[kept[p] for p in x] for x in cut]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [[int(i) for part in x for i in part.split(" ")] for x in self.encode_parts(texts)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0]
@@ -135,6 +164,14 @@ class MergeReplay:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_parts(self, parts: list[str]) -> bytes:
+        """Bytes of ids as encode_parts gives them; what a part stands for is looked up once."""
+        decoded = self.decoded
+        for part in parts:
+            if part not in decoded:
+                decoded[part] = self.decode(map(int, part.split(" ")))
+        return b"".join(map(decoded.__getitem__, parts))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> MergeReplay:
@@ -183,9 +220,10 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
         own = encoder(path, pattern)
         sha = hashlib.sha256
         for batch in text_slices(batches):
-            encoded = own.encode_batch(_texts(batch))
+            encoded = own.encode_parts(_texts(batch))
+            ids = [" ".join(x).encode() for x in encoded]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, encoded), pa.int64()), pa.array([sha(" ".join(map(str, x)).encode()).hexdigest() for x in encoded]), pa.array([sha(own.decode(x)).hexdigest() for x in encoded])],
+                [batch.column("doc_id"), pa.array([x.count(b" ") + 1 if x else 0 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(own.decode_parts(x)).hexdigest() for x in encoded], pa.string())],
                 schema=_DIGESTS,
             )
 

@@ -22,6 +22,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,7 +32,9 @@ from clausegrid.llm.common import fold, text_slices
 from clausegrid.llm.unicode_pieces import finder
 
 #: Words, and borders of tokens, that a worker keeps.
-KEPT = 250_000
+KEPT = 400_000
+#: Stands for a word end in the finder; no byte's symbol.
+_END = "\n"
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -52,89 +55,88 @@ class PrefixCounter:
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             raise ValueError("not a BPE vocabulary with word ends, lower case and byte-level symbols")
         self.end = model["end_of_word_suffix"]
-        self.table = {b: s for b, s in _byte_symbols().items()}
-        vocab = model["vocab"]
-        #: A merge's number is the time at which its token comes into being; symbols are there from the start (-1).
-        self.born = dict.fromkeys(vocab, -1)
-        self.halves: dict[str, tuple[str, str]] = {}
-        self.joined: dict[tuple[str, str], int] = {}
-        for time, merge in enumerate(model["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            if (a, b) in self.joined or a + b in self.halves:
-                raise ValueError(f"two merges make {a + b}")
-            self.joined[a, b], self.halves[a + b], self.born[a + b] = time, (a, b), time
-        self.open = {t for t in vocab if not t.endswith(self.end) or t == self.end}
-        self.longest = max(map(len, self.open))
-        self.longest_end = max(len(t) - len(self.end) for t in vocab if t.endswith(self.end))
-        self.ended = {t[: -len(self.end)]: t for t in vocab if t.endswith(self.end) and t != self.end}
+        self.table = _byte_symbols()
+        #: Tokens by number, symbols first; a merge's number is the time at which its token comes into being.
+        symbols = set(self.table.values())
+        names = [*symbols, *(x + self.end for x in symbols)]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.first = len(names)
+        names += [a + b for a, b in merges]
+        number = {t: i for i, t in enumerate(names)}
+        if len(number) < len(names) or number.keys() != model["vocab"].keys():
+            raise ValueError("not each token is a symbol or made by one merge")
+        self.halves = [(0, 0)] * self.first + [(number[a], number[b]) for a, b in merges]
+        self.joined = {number[a] << 20 | number[b]: self.first + time for time, (a, b) in enumerate(merges)}
+        #: Finds every token that ends at a place; word ends are one character there.
+        self.finder = ahocorasick.Automaton()
+        for t, i in number.items():
+            key = t[: -len(self.end)] + _END if t.endswith(self.end) else t
+            self.finder.add_word(key, (len(key), i))
+        self.finder.make_automaton()
+        self.ended = {t[: -len(self.end)]: i for t, i in number.items() if t.endswith(self.end)}
         self.cutter = finder(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.white = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
         self.kept: dict[str, int] = {}
-        self.borders: dict[tuple[str, str], bool] = {}
+        self.borders: dict[int, bool] = {}
 
-    def stable(self, a: str, b: str) -> bool:
+    def stable(self, a: int, b: int) -> bool:
         """Whether a and b stay apart when the merges are replayed over their symbols.
 
         Undo the merges next to the border, latest first; at no time may the two tokens then at the border have a
         merge of their own that came before the one undone last.
         """
-        known = self.borders.get((a, b))
-        if known is not None:
-            return known
-        if len(self.borders) >= KEPT:
-            self.borders.clear()
-        x, y, joined, born = a, b, self.joined, self.born
-        until = len(joined)  # merges of the border pair from this time on would come too late
+        x, y, joined, halves, first = a, b, self.joined, self.halves, self.first
+        until = 1 << 30  # a merge of the border pair from this time on comes too late
         while True:
-            time = joined.get((x, y))
-            if time is not None and time < until:
+            if joined.get(x << 20 | y, until) < until:
+                out = False
                 break
-            u, v = born[x], born[y]
-            if u < 0 and v < 0:
+            if x < first and y < first:
+                out = True
                 break
-            if u > v:  # of equal times (the same token twice) the left one is merged first, so undo the right one
-                until, x = u, self.halves[x][1]
+            if x > y:  # of the same token twice the left one is made first, so the right one is undone first
+                until, x = x, halves[x][1]
             else:
-                until, y = v + 1, self.halves[y][0]
-        out = time is None or time >= until
-        self.borders[a, b] = out
+                until, y = y + 1, halves[y][0]
+        if len(self.borders) >= KEPT:
+            self.borders.clear()
+        self.borders[a << 20 | b] = out
         return out
 
-    def _last(self, word: str, i: int, last: list[str], tokens, longest: int) -> tuple[int, str]:
-        """(where it begins, the token) of the last token of word[:i], with or without a word end."""
-        ended = tokens is self.ended
-        for j in range(max(0, i - longest), i):
-            part = word[j:i]
-            if part in tokens:
-                token = tokens[part] if ended else part
-                if not j or self.stable(last[j], token):
-                    return j, token
-        raise ValueError(f"no token for {word[:i]!r}")
+    def _symbols(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.table)
+
+    def _open(self, symbols: str) -> tuple[list[int], list[int]]:
+        """Last token and count of each prefix, by the symbols; of all symbols if they end in a word end."""
+        last, counts = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1)
+        borders, stable = self.borders, self.stable
+        for at, (length, token) in self.finder.iter(symbols):
+            at += 1
+            if last[at] < 0:
+                j = at - length
+                if j:
+                    before = last[j]
+                    known = borders.get(before << 20 | token)
+                    if not (stable(before, token) if known is None else known):
+                        continue
+                last[at], counts[at] = token, counts[j] + 1
+        return last, counts
 
     def word(self, word: str) -> int:
         """Tokens of a word."""
-        symbols = word.encode().decode("latin-1").translate(self.table)
-        last, counts = self._opened(symbols, len(symbols) - 1)
-        return counts[self._last(symbols, len(symbols), last, self.ended, self.longest_end)[0]] + 1
-
-    def _opened(self, symbols: str, n: int) -> tuple[list[str], list[int]]:
-        last, counts = [""], [0]
-        for i in range(1, n + 1):
-            j, token = self._last(symbols, i, last, self.open, self.longest)
-            last.append(token)
-            counts.append(counts[j] + 1)
-        return last, counts
+        return self._open(self._symbols(word) + _END)[1][-1]
 
     def word_prefixes(self, word: str) -> list[int]:
         """Tokens of word[:1], word[:2] ... each as a word."""
-        symbols = word.encode().decode("latin-1").translate(self.table)
-        last, counts = self._opened(symbols, len(symbols))
+        symbols = self._symbols(word)
+        last, counts = self._open(symbols)
         out, at = [], 0
         for c in word:
             at += len(c.encode())
-            out.append(counts[self._last(symbols, at, last, self.ended, self.longest_end)[0]] + 1)
+            fits = (j for j in range(at) if (t := self.ended.get(symbols[j:at])) is not None and (not j or self.stable(last[j], t)))
+            out.append(counts[next(fits)] + 1)
         return out
 
     def normalise(self, text: str) -> str:

@@ -75,3 +75,11 @@ def test_frames(spark):
     assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in counts) == [(0, 0, False), (0, 0, False), (11, 2, True), (11, 2, True)]
     assert token_counts.token_counts(docs.limit(0), WORDS).count() == 0
     assert {r.text for r in token_counts.truncated(docs, WORDS, 1).collect()} == {"hello ", ""}
+
+
+def test_kept_pieces_are_bounded():
+    small = bpe.MergeReplay(THEIRS._mergeable_ranks, P.PATTERN, limit=5)
+    texts = ["one two three", "four five six one", "one one two seven eight nine ten eleven"]
+    for text in texts:
+        assert small.encode(text) == THEIRS.encode_ordinary(text)
+    assert small.encode_batch(texts) == [THEIRS.encode_ordinary(x) for x in texts]
