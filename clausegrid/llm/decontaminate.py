@@ -216,6 +216,8 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "uid long, doc_id long, n_words long, spans array<int>, items array<long>"
     size = benchmark.agg(F.sum(F.octet_length(fold(F.col(item_text_col))) + 64)).first()[0] or 0
+    if size > block_bytes:
+        rows = materialize(rows, "decontaminate-texts")  # uid has to be the same for each block
     parts = []
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         index = spark.sparkContext.broadcast(Index(block, span, gram))  # of at most block_bytes of items
