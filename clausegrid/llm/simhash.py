@@ -9,8 +9,9 @@ posting list of 4 positions (70 sets, 32-bit keys). Pairs met there are verified
 Lists hold distinct fingerprints and are never expanded into all pairs. What is sought is the classes, so each list
 yields a spanning forest of its links: at most one link less than members. Before that, fingerprints that share 6
 positional bytes (28 sets; a list there has at most 65,536 members, as 16 bits are left) are joined into classes.
-In the second round, lists whose members are all of one class already are dropped by an aggregate, before any list is
-gathered. Lists that are left and longer than CHUNK are dealt as pairs of chunks, so that no task holds a whole list.
+In the second round, lists whose members are all of one class already are passed over. The rows of lists longer than
+CHUNK pass through the task unheld; those that have several classes are dealt as pairs of chunks, so that no task
+holds a whole list.
 
 Classes are found by alternating star contraction, each round a table in the shared folder.
 
@@ -27,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.llm.common import materialize, text_bytes, text_slices
@@ -75,20 +76,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _masks(shared: int) -> list[int]:
-    """A signed 64-bit mask for each set of `shared` byte positions."""
-    masks = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(POSITIONS), shared)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
 def postings(prints: DataFrame, shared: int) -> DataFrame:
-    """The inverted index: fp under each (set of positions, the bytes there)."""
-    keys = F.array(*(F.struct(F.lit(i).cast("short").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(_masks(shared))))
-    return prints.select("*", F.explode(keys).alias("key")).select(*prints.columns, "key.at", "key.bytes")
-
-
-def _bits(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    """The inverted index: key (number of the set of positions, and the bytes there), fp, root."""
+    byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF)) if p else F.col("fp").bitwiseAND(F.lit(0xFF)) for p in range(POSITIONS)]
+    keys = []
+    for at, chosen in enumerate(combinations(range(POSITIONS), shared)):
+        key = F.lit(at << 8 * shared)
+        for i, p in enumerate(chosen):
+            key = key.bitwiseOR(F.shiftleft(byte[p], 8 * i) if i else byte[p])
+        keys.append(key)
+    return prints.select(F.explode(F.array(*keys)).alias("key"), "fp", "root")
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,53 +107,84 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _list_links(max_bits: int):
-    """Over partitions sorted by key: links of each list."""
+def _links_of(keys: np.ndarray, fps: np.ndarray, roots: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of whole lists, one after the other by key; lists of one class are passed over."""
+    if not len(keys):
+        return []
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(cuts[1:], len(keys))
+    mixed = np.minimum.reduceat(roots, cuts) != np.maximum.reduceat(roots, cuts)
+    pairs = cuts[mixed & (ends - cuts == 2)]
+    near = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= max_bits]
+    longer = mixed & (ends - cuts > 2)
+    return [(fps[near], fps[near + 1]), *(_forest(fps[i:j], max_bits) for i, j in zip(cuts[longer].tolist(), ends[longer].tolist()))]
+
+
+def _walk(max_bits: int, limit: int):
+    """Over partitions sorted by key: links (a, b) of lists up to limit; the members of longer ones as they are (key, a = fp, b = root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        held_keys: list[np.ndarray] = []
+        none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, passing = none, None
 
-        def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(fps)]
-            found = [_forest(fps[i:j], max_bits) for i, j in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[side] for x in found]).view(np.int64)) for side in (0, 1)], names=["a", "b"])
+        def links(rows) -> pa.RecordBatch:
+            found = _links_of(*rows, max_bits)
+            sides = [np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in found)]).view(np.int64) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(sides[0]), pa.int64()), pa.array(sides[0]), pa.array(sides[1])], names=["key", "a", "b"])
+
+        def members(rows) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].view(np.int64)), pa.array(rows[2])], names=["key", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(n).cast(pa.int64()).to_numpy(zero_copy_only=False) for n in ("at", "bytes", "part")], axis=1)
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-            cut = int(last[-1]) + 1 if len(last) else 0  # rows from here are of a list that may go on
-            if cut or held_keys and (held_keys[-1][-1] != keys[0]).any():
-                yield links(np.concatenate([*held_keys, keys[:cut]]), np.concatenate([*held, fps[:cut]]))
-                held, held_keys = [], []
-            held.append(fps[cut:])
-            held_keys.append(keys[cut:])
-        if held:
-            yield links(np.concatenate(held_keys), np.concatenate(held))
+            fp = batch.column("fp").to_numpy(zero_copy_only=False)
+            root = batch.column("root")
+            root = np.where(root.is_null().to_numpy(zero_copy_only=False), fp, root.fill_null(0).to_numpy(zero_copy_only=False))
+            rows = batch.column("key").to_numpy(zero_copy_only=False), fp.view(np.uint64), root
+            rows = tuple(np.concatenate(x) for x in zip(held, rows))
+            if passing is not None:
+                n = int(np.searchsorted(rows[0], passing, side="right"))
+                yield members([x[:n] for x in rows])
+                rows = tuple(x[n:] for x in rows)
+                passing = passing if not len(rows[0]) else None
+            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last list may go on
+            # Lists that end in this batch.
+            done, held = tuple(x[:cut] for x in rows), tuple(x[cut:] for x in rows)
+            yield links(done)
+            if len(held[0]) > limit:
+                passing = held[0][0]
+                yield members(held)
+                held = none
+        yield links(held)
 
     return run
 
 
-def list_links(index: DataFrame, max_bits: int, chunk: int | None) -> DataFrame:
-    """Links (a, b) that connect the members of each posting list that has two or more classes (column root)."""
-    key = ["at", "bytes"]
-    lists = index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    lists = materialize(lists.where("r1 != r2").select(*key, "n", "lo", "hi"), "simhash-lists")
-    pairs = lists.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(_bits(F.col("a"), F.col("b")) <= max_bits)
-    rows = index.join(lists.where("n > 2").select(*key, "n"), key)
-    if chunk is None:
-        dealt = rows.withColumn("part", F.lit(0).cast("long"))
-    else:
-        # Chunks i <= j of a long list meet in part (i, j); a list of one chunk is part (0, 0).
-        chunks = F.ceil(F.col("n") / chunk).cast("int")
-        rows = rows.withColumn("m", chunks).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-        parts = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: (F.least(F.col("i"), j) * F.col("m") + F.greatest(F.col("i"), j)).cast("long"))
-        dealt = rows.withColumn("part", F.explode(parts))
-    dealt = dealt.select(*key, "part", "fp").repartition(*key, "part").sortWithinPartitions(*key, "part")
-    return pairs.unionByName(dealt.mapInArrow(_list_links(max_bits), "a long, b long")).distinct()
+def list_links(index: DataFrame, max_bits: int, limit: int) -> DataFrame:
+    """Links (a, b) that connect the members of each posting list, given what classes (root) connect already."""
+    found = materialize(_sorted(index, "key").mapInArrow(_walk(max_bits, limit), "key long, a long, b long"), "simhash-links")
+    links = found.where("key IS NULL").select("a", "b")
+    long = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"), F.col("b").alias("root"))
+    lists = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+    lists = materialize(lists.select("key", "n"), "simhash-long-lists")
+    if lists.isEmpty():
+        return links
+    # Chunks i <= j of a list meet in part (i, j).
+    rows = long.join(lists, "key").withColumn("m", F.ceil(F.col("n") * 2 / limit).cast("int")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: (F.least(F.col("i"), j) * F.col("m") + F.greatest(F.col("i"), j)).cast("long"))
+    dealt = rows.select("key", "fp", "root", F.explode(parts).alias("part")).select(F.xxhash64("key", "part").alias("key"), "fp", "root")
+    more = _sorted(dealt, "key").mapInArrow(_walk(max_bits, 1 << 62), "key long, a long, b long")
+    return links.unionByName(more.select("a", "b"))
+
+
+def _spread(prints: DataFrame) -> DataFrame:
+    """In as many partitions as a shuffle has, small as the rows are: each becomes a row per set of positions."""
+    return prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
+def _sorted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key).sortWithinPartitions(key)
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -181,12 +209,12 @@ def near_classes(prints: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK
     """fp, root for fingerprints (distinct, column fp) that are linked to a lesser one."""
     if max_bits > MAX_BITS:
         raise ValueError(f"at most {MAX_BITS} bits: beyond, 4 shared bytes aren't guaranteed")
-    close = list_links(postings(prints.withColumn("root", F.col("fp")), POSITIONS - 2), max_bits, None)
-    close = materialize(close, "simhash-links")
+    # What two bytes can tell apart: a list of 6 positions never is longer.
+    close = list_links(postings(_spread(prints).withColumn("root", F.lit(None).cast("long")), POSITIONS - 2), max_bits, 1 << 16)
     roots = classes(close)
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-rooted")
-    far = list_links(postings(rooted, POSITIONS - MAX_BITS), max_bits, chunk)
+    roots = materialize(roots, "simhash-roots")
+    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "root")
+    far = list_links(postings(_spread(rooted), POSITIONS - MAX_BITS), max_bits, chunk)
     # The links of the first round are stars by now; those of the second join them.
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return classes(stars.unionByName(far)).select(F.col("node").alias("fp"), "root")
