@@ -74,3 +74,41 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 of each text of a batch, null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+#: Bits of a filter over keys: at most 4096 rows of 4 KB, 16 MB, whatever the input.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 27
+
+
+def key_filter(keys: DataFrame, key: Column) -> tuple[DataFrame, int]:
+    """(bit filter over the keys as a table: bucket, bits (4 KB a bucket); its number of bits)."""
+    n = keys.count()
+    size = LEAST_BITS
+    while size < min(MOST_BITS, 64 * n):
+        size *= 2
+    bit = F.pmod(F.xxhash64(key), F.lit(size))
+    bits = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
+    return materialize(bits, "key-filter"), size
+
+
+def in_filter(rows: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFrame:
+    """rows with __hit: true for every row whose key the filter holds, and for few others."""
+    table_, size = filter_
+    bit = F.pmod(F.xxhash64(key), F.lit(size))
+    rows = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).withColumn("__at", F.bitmap_bit_position(bit))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(F.col("__at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftleft(1, cast(__at % 8 as int))").bitwiseAND(byte) > 0
+    return rows.join(F.broadcast(table_), "__bucket", "left").withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__bucket", "__at", "__bits")
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, also: Column | None = None) -> DataFrame:
+    """docs without the rows whose id is in gone (column __id, and also == __also if given), columns as they came.
+
+    Only the rows that a filter over the ids lets through are joined, so texts that stay needn't be shuffled.
+    """
+    marked = in_filter(docs, F.col(id_col), key_filter(gone, F.col("__id")))
+    on = F.col(id_col).eqNullSafe(F.col("__id"))
+    if also is not None:
+        on = on & (also == F.col("__also"))
+    maybe = marked.where("__hit").drop("__hit").join(gone, on, "left_anti")
+    return marked.where("not __hit").drop("__hit").unionByName(maybe)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import fold, materialize, text_bytes, text_slices
+from clausegrid.llm.common import drop_rows, fold, materialize, text_bytes, text_slices
 
 SPAN = 10
 GRAM = 5
@@ -264,7 +264,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """docs without those that hold a window of an item; all columns as they came."""
     prints = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
     gone = materialize(prints.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "decontaminate-dropped")
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    return drop_rows(docs, gone, id_col)
 
 
 def op1_decontaminate(spark, sf_dir):

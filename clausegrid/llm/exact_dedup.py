@@ -20,12 +20,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import fold, materialize
+from clausegrid.llm.common import drop_rows, fold, in_filter, key_filter, materialize
 
 #: Salts among which the rows of one digest are dealt.
 SALTS = 16
-#: Bits of the filter over the digests of hits: at most 512 rows of 4 KB, whatever the input.
-FILTER_BITS = 1 << 24
 
 
 def sha256_bytes(text: Column) -> Column:
@@ -52,29 +50,11 @@ def _salt() -> Column:
     return F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")
 
 
-def _bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def hit_filter(index: DataFrame) -> DataFrame:
-    """Bit filter over the digests of groups of more than one row: bucket, bits (4 KB a bucket)."""
-    bits = index.where("group_size > 1").select(_bit(F.col("digest")).alias("bit"))
-    return bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-
-
-def probable_hits(rows: DataFrame, filter_: DataFrame) -> DataFrame:
-    """Rows (with a digest) that the filter lets through; it never stops a hit."""
-    rows = rows.withColumn("bit", _bit(F.col("digest"))).withColumn("bucket", F.bitmap_bucket_number("bit"))
-    at = F.bitmap_bit_position("bit")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(bit) % 8 as int))")) > 0
-    return rows.join(F.broadcast(filter_), "bucket").where(is_set).drop("bucket", "bit", "bits")  # at most 2 MB
-
-
 def failed_digests(docs: DataFrame, index: DataFrame, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests that different texts share. Texts of one digest are reduced to two before the shuffle."""
     rows = docs.select(fold(F.col(text_col)).alias("text")).withColumn("digest", digest(F.col("text")))
-    return probable_hits(rows, hit_filter(index)).groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("digest")
+    hits = key_filter(index.where("group_size > 1").select("digest"), F.col("digest"))
+    return in_filter(rows, F.col("digest"), hits).where("__hit").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("digest")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest: Callable[[Column], Column] = sha256_bytes) -> DataFrame:
@@ -99,18 +79,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they came."""
     groups = exact_groups(docs, id_col, text_col, keep)
-    dropped = materialize(groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest")), "dedup-dropped")
+    dropped = materialize(groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("keep_id").alias("__keep"), F.col("digest").alias("__also")), "dedup-dropped")
     repeated = dropped.where(F.col("__id").eqNullSafe(F.col("__keep")))
-    gone = dropped.where(~F.col("__id").eqNullSafe(F.col("__keep"))).select("__id", "__digest").distinct()
+    gone = dropped.where(~F.col("__id").eqNullSafe(F.col("__keep"))).select("__id", "__also").distinct()
     digest = sha256_bytes(fold(F.col(text_col)))
-    out = docs.join(gone, (F.col(id_col).eqNullSafe(F.col("__id"))) & (digest == F.col("__digest")), "left_anti")
+    out = drop_rows(docs, gone, id_col, digest)
     if repeated.isEmpty():
         return out
     # Rows that repeat both doc_id and text: one of them stays.
-    twice = repeated.select("__id", "__digest").distinct()
-    same = (F.col(id_col).eqNullSafe(F.col("__id"))) & (digest == F.col("__digest"))
-    once = out.join(twice, same, "left_semi").withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).drop("__digest")
-    return out.join(twice, same, "left_anti").unionByName(once)
+    twice = repeated.select("__id", "__also").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__also"))
+    once = out.join(twice, same, "left_semi").withColumn("__also", digest).dropDuplicates([id_col, "__also"]).drop("__also")
+    return drop_rows(out, twice, id_col, digest).unionByName(once)
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import materialize, text_bytes, text_slices
+from clausegrid.llm.common import drop_rows, materialize, text_bytes, text_slices
 
 SHINGLE = 4
 SEED = 42
@@ -235,7 +235,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with one document of each class (the smallest doc_id), all columns as they came."""
     groups = near_groups(docs, id_col, text_col)
     gone = materialize(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "simhash-dropped")
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    return drop_rows(docs, gone, id_col)
 
 
 def op7_simhash_dedup(spark, sf_dir):
