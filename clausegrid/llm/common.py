@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands into tokens at a time. One longer text is one slice.
 SLICE_BYTES = 2_000_000
+#: Rows of an Arrow batch, which is held by the JVM and by the worker at once.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and bound the rows of an Arrow batch."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark
 
 
