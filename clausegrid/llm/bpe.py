@@ -29,7 +29,7 @@ from clausegrid.llm.common import text_slices
 from clausegrid.llm.unicode_pieces import finder
 
 #: Encoded pieces that a worker keeps.
-KEPT = 160_000
+KEPT = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
