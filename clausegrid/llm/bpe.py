@@ -174,9 +174,9 @@ class MergeReplay:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> MergeReplay:
+def encoder(path: str, pattern: str, kept: int = KEPT) -> MergeReplay:
     """The worker's own encoder for a vocabulary file, which every node has at the same path."""
-    return MergeReplay(read_ranks(path), pattern)
+    return MergeReplay(read_ranks(path), pattern, kept)
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -213,11 +213,14 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, its ids decoded, in one pass."""
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, its ids decoded, in one pass.
+
+    kept bounds the encoded pieces that a worker keeps: it trades memory for time and changes no result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, kept)
         sha = hashlib.sha256
         for batch in text_slices(batches):
             encoded = own.encode_parts(_texts(batch))

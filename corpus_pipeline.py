@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from clausegrid.llm import bpe, decontaminate, exact_dedup, langid, simhash
 from clausegrid.llm.common import materialize, prepare, table
 
+#: Encoded pieces that a worker keeps here, where it holds the memory of the earlier stages as well.
+KEPT_PIECES = 100_000
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model, trained on the labelled ones, doesn't reject."""
@@ -35,7 +38,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' count and digest, and the decoded text's digest, of each document that is left."""
     prepare(spark)
-    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, kept=KEPT_PIECES)
 
 
 STAGES = [

@@ -83,3 +83,9 @@ def test_kept_pieces_are_bounded():
     for text in texts:
         assert small.encode(text) == THEIRS.encode_ordinary(text)
     assert small.encode_batch(texts) == [THEIRS.encode_ordinary(x) for x in texts]
+
+
+def test_bound_of_kept_pieces_changes_no_result(spark):
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([None, "", "a b", "naïve 中文 tests " * 50, "x" * 3000, "a b"])], "doc_id long, text string")
+    some, many = (sorted(map(tuple, bpe.round_trip_digests(docs, RANKS, P.PATTERN, kept=k).collect())) for k in (2, 400_000))
+    assert some == many and len(some) == 6
