@@ -3,10 +3,11 @@
 Tokens are a text's words and one end. A word of at least HEAD of all training tokens is a symbol of its own (at most
 1 / HEAD words are); any other word is the symbol of its class, by its last bytes, and within the class has its share
 of the class's training tokens (add one; the unseen words of a class share one more). STATES latent states emit the
-symbols. Baum-Welch: a start on at most START_TOKENS tokens, then PASSES passes over all training texts, in which
-each task adds up its expected counts and the cluster sums them by symbol; the driver gets one row per symbol. A text
-is scored by the scaled forward recursion over all of its symbols, so the score is its exact likelihood. Training
-reads a text in windows of WINDOW tokens, which bounds what the backward recursion keeps; scoring reads texts whole.
+symbols. Baum-Welch starts from the corpus's symbol shares, spread by a seed, and takes START_ROUNDS + PASSES rounds,
+each a pass over all training texts: each task adds up its expected counts and the cluster sums them by symbol; the
+driver gets one row per symbol. The symbols are written once, as windows of WINDOW tokens, which bounds what the
+backward recursion keeps; every round reads them all. A text is scored whole by the scaled forward recursion over all
+of its symbols, so the score is its exact likelihood.
 
 Words that have no symbol aren't sent to the tasks: a text's such words are joined with the vocabulary's counts by
 word, and summed by text. What is broadcast is bounded by 1 / HEAD words.
@@ -35,13 +36,14 @@ END = b""
 HEAD = 2e-6
 CLASSES = 1024
 STATES = 8
-START_TOKENS = 600_000
 START_ROUNDS = 12
 PASSES = 1
 WINDOW = 2048
 #: Tokens' worth of the corpus's own symbol shares that each state's emissions are smoothed with.
 SMOOTHING = 20.0
 SLICE = 6_000_000
+#: Tokens that a recursion works on at a time; one longer step is worked on whole.
+BLOCK = 800_000
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 200_000
 
@@ -91,72 +93,71 @@ class Model:
         return _forward(self, texts)[0]
 
 
-def _order(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Longest first: (order, all symbols, where each text starts, lengths, how many texts have a token t)."""
-    lengths = np.array([len(x) for x in texts])
+def _order(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longest first: (order, all symbols, where each text starts, how many texts have a token t)."""
+    lengths = np.array([len(x) for x in texts], np.int64)
     order = np.argsort(-lengths, kind="stable")
     flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int32)
     lengths = lengths[order]
     starts = np.cumsum(lengths) - lengths
     alive = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
-    return order, flat, starts, lengths, alive
+    return order, flat, starts, alive
 
 
 def _forward(model: Model, texts: list[np.ndarray], keep: bool = False):
-    """(log10 likelihoods, what the backward recursion needs). No text is empty."""
-    order, flat, starts, lengths, alive = _order(texts)
-    total = np.zeros(len(texts))
-    emit, move = model.emit, model.move
-    a, kept = None, []
+    """(log10 likelihoods, what the backward recursion needs: of all tokens, step by step). No text is empty."""
+    order, flat, starts, alive = _order(texts)
+    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     logs = np.zeros(len(texts))
-    product = np.ones(len(texts))
-    for t, n in enumerate(alive.tolist()):
-        seen = emit[flat[starts[:n] + t]]
-        a = model.start * seen if a is None else (a[:n] @ move) * seen
-        c = a.sum(axis=1)
-        a /= c[:, None]
-        product[:n] *= c
-        if t % 8 == 7:  # before the product of shares leaves the range of floats
-            logs += np.log10(product)
-            product[:] = 1
+    steps = np.concatenate([[0], np.cumsum(alive)])
+    a, kept, t0 = None, None, 0
+    while t0 < len(alive):
+        t1 = len(alive) if keep else max(t0 + 1, int(np.searchsorted(steps, steps[t0] + BLOCK, side="right")) - 1)
+        own, counts = steps[t0 : t1 + 1] - steps[t0], alive[t0:t1]
+        text = np.arange(own[-1]) - np.repeat(own[:-1], counts)
+        symbols = flat[starts[text] + np.repeat(np.arange(t0, t1), counts)]
+        seen = emit.take(symbols, axis=1)
+        # States x tokens, so that each operation runs along the tokens of a step.
+        forward, scale = np.empty_like(seen), np.empty(len(symbols), seen.dtype)
+        cuts = own.tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            now, c = forward[:, i:j], scale[i:j]
+            if a is None:
+                np.multiply(model.start[:, None], seen[:, i:j], out=now)
+            else:
+                np.matmul(move, a[:, : j - i], out=now)
+                now *= seen[:, i:j]
+            now.sum(axis=0, out=c)
+            now /= c
+            a = now
+        logs += np.bincount(text, weights=np.log10(scale, dtype=np.float64), minlength=len(logs))
         if keep:
-            kept.append((a, c, seen))
-    logs += np.log10(product)
+            kept = symbols, seen, forward, scale, cuts
+        a, t0 = a.copy(), t1
+    total = np.zeros(len(texts))
     total[order] = logs
-    return total, (order, flat, starts, alive, kept)
+    return total, kept
 
 
 def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected (starts by state, moves from and to a state, emissions by symbol and state)."""
     k = len(model.start)
-    _, (_, flat, starts, alive, kept) = _forward(model, texts, keep=True)
-    moves, b = np.zeros((k, k)), None
-    gammas, at = [], []
-    for t in range(len(alive) - 1, -1, -1):
-        n = int(alive[t])
-        back = np.ones((n, k), emit_type(model))
-        if b is not None:
-            m = len(b)
-            _, c, seen = kept[t + 1]
-            weighted = seen * b / c[:, None]
-            moves += kept[t][0][:m].T @ weighted
-            back[:m] = weighted @ model.move.T
-        gamma = kept[t][0] * back
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        gammas.append(gamma)
-        at.append(flat[starts[:n] + t])
-        b = back
-        if t + 1 < len(kept):
-            kept[t + 1] = None
-    emitted = np.zeros((len(model.emit), k))
-    where, weights = np.concatenate(at), np.concatenate(gammas)
+    moves, emitted = np.zeros((k, k)), np.zeros((len(model.emit), k))
+    if not texts:
+        return np.zeros(k), moves, emitted
+    symbols, seen, gamma, scale, cuts = _forward(model, texts, keep=True)[1]
+    seen /= scale
+    b = np.ones((k, 0), seen.dtype)  # of the texts that go on; it is one for those that end
+    for i, j, end in zip(cuts[-3::-1], cuts[-2:0:-1], cuts[:1:-1]):
+        now, weighted = gamma[:, i : i + end - j], seen[:, j:end]
+        weighted[:, : b.shape[1]] *= b
+        moves += now @ weighted.T
+        b = model.move @ weighted
+        now *= b
+    gamma /= gamma.sum(axis=0)
     for s in range(k):
-        emitted[:, s] = np.bincount(where, weights=weights[:, s], minlength=len(emitted))
-    return gammas[-1].sum(axis=0, dtype=np.float64), moves * model.move, emitted
-
-
-def emit_type(model: Model):
-    return model.emit.dtype
+        emitted[:, s] = np.bincount(symbols, weights=gamma[s], minlength=len(emitted))
+    return gamma[:, : cuts[1]].sum(axis=1, dtype=np.float64), moves * model.move, emitted
 
 
 def windows(symbols: np.ndarray) -> list[np.ndarray]:
@@ -226,53 +227,56 @@ def _first_model(docs: DataFrame, vocab: DataFrame, states: int, head: float) ->
     return model, shares
 
 
-def _start(model: Model, shares: np.ndarray, docs: DataFrame, rounds: int, limit: int) -> None:
-    """Baum-Welch on the driver over texts first by a hash, cut to `limit` tokens in all: only the start of the search."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col("text"), F.xxhash64("uid").alias("h")).where("text IS NOT NULL").orderBy("h").limit(2000)
+def _encoded(model: Model, docs: DataFrame) -> DataFrame:
+    """The symbols (32 bits each) of all windows of all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in text_slices(batches):
-            found = [own.encode(tokens(x))[0][: limit // 200] for x in text_bytes(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(found, pa.list_(pa.int32()))], names=["h", "symbols"])
-
-    table = rows.mapInArrow(run, "h long, symbols array<int>").toArrow().combine_chunks()
-    order = np.argsort(table.column("h").to_numpy(), kind="stable")
-    texts, size = [], 0
-    for i in order.tolist():
-        if size >= limit:
-            break
-        x = table.column("symbols")[i].values.to_numpy()
-        texts += windows(x)
-        size += len(x)
+            cut = [w.tobytes() for x in text_bytes(batch) for w in windows(own.encode(tokens(x))[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], names=["symbols"])
+
+    table = materialize(docs.select("text").mapInArrow(run, "symbols binary"), "lm-symbols")
     shared.unpersist()
-    for _ in range(rounds if texts else 0):
-        maximise(model, *expected_counts(model, texts), shares)
+    return table
 
 
-def _baum_welch(model: Model, shares: np.ndarray, docs: DataFrame) -> None:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Windows in lists of at most BLOCK tokens."""
+    held, size = [], 0
+    for batch in batches:
+        for x in batch.column("symbols").to_pylist():
+            x = np.frombuffer(x, np.int32)
+            if size + len(x) > BLOCK:
+                yield held
+                held, size = [], 0
+            held.append(x)
+            size += len(x)
+    if held:
+        yield held
+
+
+def _baum_welch(model: Model, shares: np.ndarray, encoded: DataFrame) -> None:
     """One pass over all texts: expected counts by task, summed by symbol, then new parameters."""
-    spark, k = docs.sparkSession, len(model.start)
-    shared = spark.sparkContext.broadcast(model)
+    spark, k = encoded.sparkSession, len(model.start)
+    shared = spark.sparkContext.broadcast(Model([], np.zeros(0), np.zeros(0), 0, 0, model.start, model.move, model.emit))
     columns = [f"s{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         n = len(own.emit)
         total = np.zeros((n + k + 1, k))  # emissions by symbol; moves by origin; starts
-        for batch in text_slices(batches, limit=SLICE):
-            cut = [w for x in text_bytes(batch) for w in windows(own.encode(tokens(x))[0])]
-            starts, moves, emitted = expected_counts(own, cut)
+        for held in _held(batches):
+            starts, moves, emitted = expected_counts(own, held)
             total[:n] += emitted
             total[n : n + k] += moves
             total[n + k] += starts
         at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(total[at, i]) for i in range(k))], names=["symbol", *columns])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, i], pa.float32()) for i in range(k))], names=["symbol", *columns])
 
-    summed = docs.select("text").mapInArrow(run, "symbol long, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
-    shared.unpersist()
+    summed = encoded.mapInArrow(run, "symbol int, " + ", ".join(f"{c} float" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    shared.destroy()
     n = len(model.emit)
     total = np.zeros((n + k + 1, k))
     total[summed.column("symbol").to_numpy()] = np.stack([summed.column(c).to_numpy() for c in columns], axis=1) if summed.num_rows else 0
@@ -280,13 +284,13 @@ def _baum_welch(model: Model, shares: np.ndarray, docs: DataFrame) -> None:
         maximise(model, total[n + k], total[n : n + k], total[:n], shares)
 
 
-def train(docs: DataFrame, states: int = STATES, passes: int = PASSES, head: float = HEAD, start_rounds: int = START_ROUNDS, start_tokens: int = START_TOKENS) -> tuple[Model, DataFrame]:
-    """(model, vocabulary) from all texts of docs (uid, text)."""
+def train(docs: DataFrame, states: int = STATES, passes: int = PASSES, head: float = HEAD, start_rounds: int = START_ROUNDS) -> tuple[Model, DataFrame]:
+    """(model, vocabulary) from all texts of docs (uid, text), each of which takes part in every round."""
     vocab = materialize(vocabulary(docs), "lm-vocabulary")
     model, shares = _first_model(docs, vocab, states, head)
-    _start(model, shares, docs, start_rounds, start_tokens)
-    for _ in range(passes):
-        _baum_welch(model, shares, docs)
+    encoded = _encoded(model, docs)
+    for _ in range(start_rounds + passes):
+        _baum_welch(model, shares, encoded)
     return model, vocab
 
 

@@ -41,6 +41,19 @@ def test_scores_on_odd_rows(spark):
     assert hmm_lm.score_documents(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_every_token_takes_part_in_every_round(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"{'ab'[i > 3500]}{x}" for i, x in enumerate(rng.integers(0, 30, 5000))), "a1 b1 b1", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    vocab = hmm_lm.vocabulary(docs)
+    want, shares = hmm_lm._first_model(docs, vocab, 3, hmm_lm.HEAD)
+    cut = [w for x in texts for w in hmm_lm.windows(want.encode(hmm_lm.tokens((x or "").encode()))[0])]
+    for _ in range(4):
+        hmm_lm.maximise(want, *hmm_lm.expected_counts(want, cut), shares)
+    got, _ = hmm_lm.train(docs, states=3, start_rounds=3, passes=1)
+    assert np.allclose(got.emit, want.emit, rtol=1e-3, atol=1e-6) and np.allclose(got.move, want.move, rtol=1e-3)
+
+
 def test_toxicity_finds_misspellings_and_quotation():
     lex = toxicity.Lexicon([("idiot", False), ("lowei", True)])
     assert lex.find("idiot") == ((0, 0),) and lex.find("idi0t") == ((0, 1),) and lex.find("idoit") == () and lex.find("idiots") == ((0, 1),)
