@@ -13,7 +13,8 @@ merged by document, so memory is bounded whatever the benchmark's size.
 
 Defined cases: null or wordless texts have no words and no hits; wordless items and items with a null id have no
 windows; repeated items count once by id; the same id with several texts has the windows of all; repeated document
-rows give a row each; an empty benchmark gives no hits; other columns are not read.
+rows give a row each; a row is dropped for its own text, whatever rows share its doc_id or lack one too; an empty
+benchmark gives no hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.llm.common import drop_rows, fold, materialize, text_bytes, text_slices
+from clausegrid.llm.exact_dedup import sha256_bytes
 
 SPAN = 10
 GRAM = 5
@@ -181,7 +183,7 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).tolist()
 
 
-_SCHEMA = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+_SCHEMA = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("also", pa.binary()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
 
 
 def _matcher(index):
@@ -190,7 +192,7 @@ def _matcher(index):
         for batch in text_slices(batches):
             found = [own.match(x) for x in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid").cast(pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array([n for n, _, _ in found], pa.int64()), pa.array([_ranges(f) for _, f, _ in found], pa.list_(pa.int32())), pa.array([sorted(s) for _, _, s in found], pa.list_(pa.int64()))],
+                [batch.column("uid").cast(pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("also"), pa.array([n for n, _, _ in found], pa.int64()), pa.array([_ranges(f) for _, f, _ in found], pa.list_(pa.int32())), pa.array([sorted(s) for _, _, s in found], pa.list_(pa.int64()))],
                 schema=_SCHEMA,
             )
 
@@ -210,11 +212,11 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
     yield block
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, items (sorted ids), spans (word positions of the hits)."""
+def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, also: Column | None = None) -> DataFrame:
+    """A row per document: doc_id, also (a binary column of docs, or null), n_words, n_hit, items (sorted ids), spans (word positions of the hits)."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "uid long, doc_id long, n_words long, spans array<int>, items array<long>"
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(None).cast("binary") if also is None else also).alias("also"))
+    schema = "uid long, doc_id long, also binary, n_words long, spans array<int>, items array<long>"
     size = benchmark.agg(F.sum(F.octet_length(fold(F.col(item_text_col))) + 64)).first()[0] or 0
     if size > block_bytes:
         rows = materialize(rows, "decontaminate-texts")  # uid has to be the same for each block
@@ -234,9 +236,9 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for part in parts[1:]:
             every = every.unionByName(part)
         # A row per document and block; only the rows with hits carry arrays.
-        merged = every.groupBy("uid", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", _merged_spans(F.col("spans")))
+        merged = every.groupBy("uid", "doc_id", "also", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", _merged_spans(F.col("spans")))
     n_hit = F.aggregate(F.sequence(F.lit(1), F.size("spans").cast("int"), F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.element_at(F.col("spans"), i + 1) - F.element_at(F.col("spans"), i))
-    return merged.select("doc_id", "n_words", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long")).alias("n_hit"), "items", "spans")
+    return merged.select("doc_id", "also", "n_words", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long")).alias("n_hit"), "items", "spans")
 
 
 def _merged_spans(spans):
@@ -262,9 +264,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a window of an item; all columns as they came."""
-    prints = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
-    gone = materialize(prints.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "decontaminate-dropped")
-    return drop_rows(docs, gone, id_col)
+    digest = sha256_bytes(fold(F.col(text_col)))
+    prints = find_overlap(docs, benchmark, id_col=id_col, text_col=text_col, also=digest)
+    gone = materialize(prints.where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("also").alias("__also")).distinct(), "decontaminate-dropped")
+    return drop_rows(docs, gone, id_col, digest)
 
 
 def op1_decontaminate(spark, sf_dir):

@@ -83,10 +83,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = dropped.where(F.col("__id").eqNullSafe(F.col("__keep")))
     gone = dropped.where(~F.col("__id").eqNullSafe(F.col("__keep"))).select("__id", "__also").distinct()
     digest = sha256_bytes(fold(F.col(text_col)))
-    out = drop_rows(docs, gone, id_col, digest)
+    return one_of_repeated(drop_rows(docs, gone, id_col, digest), repeated, id_col, digest)
+
+
+def one_of_repeated(out: DataFrame, repeated: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """out with one of the rows that repeat both doc_id and text, for those in repeated (__id, __also)."""
     if repeated.isEmpty():
         return out
-    # Rows that repeat both doc_id and text: one of them stays.
     twice = repeated.select("__id", "__also").distinct()
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__also"))
     once = out.join(twice, same, "left_semi").withColumn("__also", digest).dropDuplicates([id_col, "__also"]).drop("__also")

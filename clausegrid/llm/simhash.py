@@ -17,7 +17,8 @@ Classes are found by alternating star contraction, each round a table in the sha
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; texts of fewer than 4 words
 are one shingle; repeated rows give a row each; a null doc_id is never smallest and its class may have a null
-component_id; an empty table gives an empty result; other columns are not read.
+component_id; the row to keep of a class is the least by doc_id and the text's digest, so rows that share a doc_id, or
+have none, stay or go each by its own text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import drop_rows, materialize, text_bytes, text_slices
+from clausegrid.llm.common import drop_rows, fold, materialize, text_bytes, text_slices
+from clausegrid.llm.exact_dedup import one_of_repeated, sha256_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -70,6 +72,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        prints = np.array([fingerprint(x) for x in text_bytes(batch)], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64)), batch.column("digest")], names=["doc_id", "fp", "digest"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -223,19 +231,30 @@ def near_classes(prints: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
     """A row per document: doc_id, fp, component_id (the smallest doc_id of its class)."""
     rows = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    of = _least_of_class(rows, F.col("doc_id"), max_bits, chunk)
+    return rows.join(of, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def _least_of_class(rows: DataFrame, key: Column, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
+    """fp, least (the least key of the rows of its class)."""
+    prints = materialize(rows.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
     roots = materialize(near_classes(prints.select("fp"), max_bits, chunk), "simhash-roots")
     rooted = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
+    return rooted.join(smallest, "root").select("fp", F.col("smallest").alias("least"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class (the smallest doc_id), all columns as they came."""
-    groups = near_groups(docs, id_col, text_col)
-    gone = materialize(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "simhash-dropped")
-    return drop_rows(docs, gone, id_col)
+    """docs with one row of each class (the smallest doc_id, of these the least digest), all columns as they came."""
+    digest = sha256_bytes(fold(F.col(text_col)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest"))
+    rows = materialize(rows.mapInArrow(_keyed_fingerprints, "doc_id long, fp long, digest binary"), "simhash-prints")
+    of = _least_of_class(rows, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    found = rows.join(of, "fp").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__also"), kept.alias("kept"))
+    times = materialize(found.groupBy("__id", "__also", "kept").agg(F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "simhash-dropped")
+    out = drop_rows(docs, times.where("not kept").select("__id", "__also"), id_col, digest)
+    return one_of_repeated(out, times.where("kept"), id_col, digest)
 
 
 def op7_simhash_dedup(spark, sf_dir):

@@ -64,3 +64,11 @@ def test_sliding_least(w):
 
     a = np.random.default_rng(w).integers(0, 9, 30).astype(np.uint64)
     assert d._least(a, w).tolist() == [min(a[i : i + w]) for i in range(len(a) - w + 1)]
+
+
+def test_rows_are_dropped_for_their_own_text(spark):
+    span = " ".join(f"w{k}" for k in range(12))
+    items = spark.createDataFrame([(1, span)], "item_id long, text string")
+    rows = [(None, span), (None, "clean"), (None, None), (7, f"x {span}"), (7, "clean too"), (8, span)]
+    kept = d.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, "clean"), (None, None), (7, "clean too")], key=str)

@@ -84,3 +84,11 @@ def test_documents(spark):
     assert kept.columns == docs.columns
     assert sorted(kept.toPandas().fp) == ["a", "n", "q", "y"]
     assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_rows_of_null_and_repeated_ids_go_by_their_own_text(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(400)) for c in "abc")
+    rows = [(5, one), (5, one + " tail"), (5, "something else"), (None, two), (None, two + " tail"), (None, "alone"), (4, three), (6, three + " tail"), (6, "stays"), (None, three + " end"), (8, "again"), (8, "again")]
+    kept = [tuple(r) for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(x for x in kept if x[0] is not None and x[0] != 5) == [(4, three), (6, "stays"), (8, "again")]
+    assert sorted(t[:4] for i, t in kept if i == 5) == ["a0 a", "some"] and sorted(t[:4] for i, t in kept if i is None) == ["alon", "b0 b"]
