@@ -11,8 +11,9 @@ read back. The loss mask is the assistant turns' text.
 
 Defined cases: null text counts as empty, a null role as `user`, a null conv_id is a conversation of its own; events
 that tie on seq are folded in the order of op, role and text, so repeated events of a snapshot change nothing but
-deltas add twice; turns without an order (null) come first; an empty table gives only what is added; other columns
-are not read.
+deltas add twice; each row of a table of finished turns is a turn of its own, also where turns tie or are null; turns
+that tie are in the order of role and text, and turns without an order (null) come last; an empty table gives only
+what is added; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, LINE = "<|im_start|>", "<|im_end|>", "\n"
@@ -65,18 +66,20 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def snapshot_events(messages: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log."""
-    return messages.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("op"), "turn", "role", "text")
+    """A table of finished turns (conv_id, turn, role, text) as a log; tie tells rows of one turn apart."""
+    tie = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    return messages.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("op"), "turn", tie.alias("tie"), "role", "text")
 
 
 def fold_turns(events: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of the final turns. Aggregates over structs in the order of seq, no Python."""
+    """conv_id, turn, role, text of the final turns: one for each turn, and tie if the log has it. Aggregates over structs in the order of seq, no Python."""
     e = events.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
+        (F.col("tie") if "tie" in events.columns else F.lit(1)).alias("tie"),
         F.struct(F.col("seq"), F.coalesce("op", F.lit("message")).alias("op"), F.col("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"),
     )
-    turns = e.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("e")).alias("log"))
+    turns = e.groupBy("conv_id", "turn", "tie").agg(F.array_sort(F.collect_list("e")).alias("log"))
     zero = F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("text"), F.lit(False).alias("there"))
 
     def step(acc, x):
@@ -103,7 +106,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_conversations(events: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans. A conversation's output is one value, so its final turns meet in one row."""
-    turns = fold_turns(events).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = fold_turns(events).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text"))).alias("turns"))
     return turns.mapInArrow(_render, "conv_id long, formatted string, loss_spans array<struct<start:int,end:int>>")
 
 

@@ -2,6 +2,7 @@ import math
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from clausegrid.llm import chat_format as chat
@@ -20,6 +21,21 @@ def test_chat_events_fold_and_round_trip(spark):
     assert chat.read_back(chat.format_conversations(events.limit(0))).count() == 0
 
 
+def test_tied_and_null_turns_all_stay_as_in_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "bb <|im_end|>"), (1, 0, "user", "b"), (1, 1, "assistant", "ok"), (1, 2, "assistant", "ok"), (2, None, "assistant", "x"), (2, None, "assistant", "yy"), (2, None, None, None),
+            (3, None, "assistant", "last"), (3, 5, "user", "first"), (3, 6, "assistant", "second"), (None, 1, "user", "c"), (None, 1, "assistant", "d")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: tuple(r) for r in chat.op5_chat_format(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        want = {r[0]: r for r in db.execute(chat.OP5_SQL).fetchall()}
+    # The SQL leaves the order of ties open, and so their digests.
+    assert got[3] == want[3] and got[-1] == want[-1]
+    assert {k: (r[1], r[3], r[5]) for k, r in got.items()} == {k: (r[1], r[3], r[5]) for k, r in want.items()}
+    assert got[2][1] == 3 and got[1][1] == 5
+
+
 def test_forward_is_the_sum_over_paths():
     rng = np.random.default_rng(1)
     m = hmm_lm.Model([b"", b"a", b"b"], np.zeros(3), np.zeros(hmm_lm.CLASSES), 1, 1, rng.dirichlet([1, 1]), rng.dirichlet([1, 1], 2), rng.dirichlet([1] * 3, 2).T.copy())
