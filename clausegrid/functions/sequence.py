@@ -218,28 +218,81 @@ _STOP = re.compile(
 )
 
 
+_WORD = re.compile(r"[A-Za-z][\w-]*")
+#: Modifiers that describe by their ending, and nouns with such an ending; other modifiers are nouns of a compound.
+_DESCRIBES = re.compile(r"(?:ed|ing|al|ive|ous|ic|able|ible|ful|less|ary|(?<!m)ent|ant)$")
+_NOUNS = frozenset("signal terminal metal material crystal journal manual interval animal chemical drive fabric traffic logic music cable table boundary library content component current agent patient event gradient coolant plant vent building bearing spring ring string wing housing coating opening feed seed speed bed".split())
+_ADJECTIVES = frozenset("first second third fourth new old same other another each such own main upper lower inner outer left right top bottom front rear high low large small long short hot cold wet dry".split())
+#: Words that no bare noun phrase holds.
+_NO_NOUN = frozenset(
+    "it its they them their he she this these those there here which who whose what where while whenever during before after upon between over under above below within without via per not no nor but so then than also"
+    " each any all both either least more most one such where whereas herein thereof therein said same other can may will shall would could should do does did has had least claim claims".split()
+)
+
+
+def _lemma(word: str) -> str:
+    w = word.lower()
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
+
+
+def _describes(word: str) -> bool:
+    return _lemma(word) not in _NOUNS and (word.lower() in _ADJECTIVES or bool(_DESCRIBES.search(word.lower())))
+
+
+def _key(words: list[str]) -> str:
+    """The nouns that modify the head, sorted and distinct, and the head."""
+    return " ".join([*sorted({_lemma(w) for w in words[:-1] if not _describes(w)}), _lemma(words[-1])])
+
+
+def _bare(text: str, start: int, end: int) -> list[dict]:
+    """Noun phrases without a determiner between start and end: runs of words that no mark, number or function word parts."""
+    runs, last = [[]], start
+    for w in _WORD.finditer(text, start, end):
+        if text[last : w.start()].strip():
+            runs.append([])
+        last = w.end()
+        if _STOP.match(w[0]) or w[0].lower() in _NO_NOUN or w[0].lower().endswith("ly"):
+            runs.append([])
+        else:
+            runs[-1].append(w)
+    out = []
+    for run in filter(None, runs):
+        before, after = text[: run[0].start()].rstrip(), text[run[-1].end() :].lstrip()
+        # A participle or verb that governs the phrase, or goes on from the mention before it.
+        while run and _lemma(run[0][0]) not in _NOUNS and (run[0][0].lower().endswith("ing") or run[0][0].lower() in CLAIM_VERBS or run[0].start() - start <= 1 and start and run[0][0].lower().endswith("ed")):
+            run = run[1:]
+        # The verb of a clause that the phrase begins: "Coolant flows through".
+        if len(run) > 1 and (not before or before[-1] in ".;:,") and run[-1][0].endswith("s") and not run[-1][0].endswith("ss") and _WORD.match(after):
+            run = run[:-1]
+        if run and not _describes(run[-1][0]):
+            a, b = run[0].start(), run[-1].end()
+            out.append({"kind": "bare", "text": text[a:b], "key": _key([w[0] for w in run]), "start": a, "end": b})
+    return out
+
+
 def mentions(text: str) -> list[dict]:
-    """Noun phrases in order: kind (intro, ref), text, key (last two words at most), start, end."""
-    out, at = [], 0
+    """Noun phrases in order: kind (intro, ref, bare), text, key (nouns that modify the head, and the head), start, end."""
+    out, at, gap = [], 0, 0
     while m := _MENTION.search(text, at):
         at = m.end(1)
         words = []
         for w in re.finditer(r"[A-Za-z][\w-]*", m[2]):
-            if _STOP.match(w[0]) or len(words) and w[0].lower().endswith(("ing", "ed")):
+            if _STOP.match(w[0]) or len(words) and (w[0].lower().endswith(("ing", "ed")) or w[0].lower() in _NO_NOUN):
                 break
             words.append(w)
         if not words:
             continue
         end = m.start(2) + words[-1].end()
+        out += _bare(text, gap, m.start())
+        gap = end
         det = " ".join(m[1].lower().split())
         if det in DEFINITE_DETERMINERS and re.match(r"\s+comprising\b", text[end:], re.I):
             at = end
             continue
-        head = [w[0].lower() for w in words][-1]
-        key = head[:-1] if head.endswith("s") and not head.endswith("ss") else head
+        key = _key([w[0] for w in words])
         out.append({"kind": "ref" if det in DEFINITE_DETERMINERS else "intro", "text": text[m.start() : end], "key": key, "start": m.start(), "end": end})
         at = end
-    return out
+    return out + _bare(text, gap, len(text))
 
 
 def batches(items: list[tuple[float, float]], size: int, budget: float, window: float) -> list[int]:

@@ -58,3 +58,23 @@ def test_batches_carry_over_what_exceeds_the_budget():
 def test_mentions_and_segments():
     assert [(m["kind"], m["key"]) for m in sequence.mentions("A pump is coupled to the valve.")] == [("intro", "pump"), ("ref", "valve")]
     assert [s["kind"] for s in sequence.segments(LEFT)] == ["preamble", "limitation", "limitation", "limitation"]
+
+
+def _unintroduced(text):
+    seen, out = set(), []
+    for m in sequence.mentions(text):
+        if m["kind"] != "ref":
+            seen.add(m["key"])
+        elif m["key"] not in seen:
+            out.append(m["text"])
+    return out
+
+
+def test_mentions_key_on_compounds_and_take_bare_nouns():
+    assert _unintroduced("A system comprising a processor and the memory coupled to the processor.") == ["the memory"]
+    assert _unintroduced("A method for storing content, the method comprising: receiving encrypted content; and storing the encrypted content.") == []
+    assert _unintroduced("Coolant flows through a pipe, and the coolant is heated.") == []
+    assert _unintroduced("A car with a battery pump, wherein the fuel pump is on.") == ["the fuel pump"]
+    assert _unintroduced("A car with a fuel pump, wherein the electric fuel pump is on.") == []
+    found = sequence.mentions("Coolant cools a cell.")
+    assert found[0]["kind"] == "bare" and found[0]["key"] == "coolant" and all(found[i]["start"] < found[i + 1]["start"] for i in range(len(found) - 1))
