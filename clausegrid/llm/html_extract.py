@@ -2,7 +2,8 @@
 
 The standard library's streaming parser gives tag and text events; from them come lines (the text of a block element)
 with the tags seen in them. Lines in menus, footers, adverts and the like are set aside by their elements and by
-class or id words. Over the other lines, the ratio of text to tags is smoothed with a Gaussian and split in two by
+whole class, id or role words, which say nothing on html, body, main and article. What a word or a form sets aside
+comes back if it holds most of the page's text. Over the lines that are left, the ratio of text to tags is smoothed with a Gaussian and split in two by
 threshold clustering (two means). The content regions are the articles (or <main>) that hold a line of the upper
 cluster; on pages without either, the innermost container with nearly all of the upper cluster's text. A region is
 kept whole, its short lines too.
@@ -13,7 +14,6 @@ for blocks; pages of any length are whole; repeated rows give a row each; other
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -33,6 +33,8 @@ HOLDS = 0.7
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("aside button canvas datalist dialog footer form head iframe input menu nav noframes noscript object script select style svg template textarea title".split())
+#: Elements around the text itself, of whatever class.
+WHOLE = frozenset("html body main article".split())
 CONTAINER = frozenset("article body div main section td".split())
 #: Words in class, id or role that mark what is not the article's text; the last few only outside an article.
 HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
@@ -41,7 +43,6 @@ OUTER_HINTS = frozenset("header masthead topbar contentinfo complementary".split
 _ENDS_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _ENDS_LIKE = frozenset("li dt dd tr td th option p".split())
 _SCOPE = frozenset("ul ol dl table article section div main body".split())
-_WORDS = re.compile(r"[a-z]+")
 
 
 @dataclass
@@ -51,6 +52,9 @@ class Element:
     container: int
     boilerplate: bool
     in_article: bool
+    #: Numbers of the parts, set aside for now, that it is in, and whether it begins one.
+    asides: tuple[int, ...] = ()
+    begins: bool = False
 
 
 @dataclass
@@ -59,6 +63,7 @@ class Line:
     tags: int
     container: int
     boilerplate: bool
+    asides: tuple[int, ...]
 
 
 class Lines(HTMLParser):
@@ -70,6 +75,7 @@ class Lines(HTMLParser):
         #: Of each container: the one around it, its tag.
         self.around, self.kinds = [-1], [""]
         self.lines: list[Line] = []
+        self.asides = 0
         self.text: list[str] = []
         self.tags = 0
 
@@ -77,7 +83,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             top = self.stack[-1]
-            self.lines.append(Line(text, self.tags, top.container, top.boilerplate))
+            self.lines.append(Line(text, self.tags, top.container, top.boilerplate, top.asides))
             self.tags = 0
         self.text = []
 
@@ -93,16 +99,21 @@ class Lines(HTMLParser):
             return
         around = self.stack[-1]
         article = around.in_article or tag in ("article", "main")
-        off = around.boilerplate or tag in NEVER or tag == "header" and not article or self._hinted(attrs, article)
+        off = around.boilerplate or tag in NEVER and tag != "form" or tag == "header" and not article or self._hidden(attrs)
+        begins = not off and (tag == "form" or tag not in WHOLE and self._hinted(attrs, article))
         # What changes the fate of text parts lines, whatever the element.
-        if off != around.boilerplate:
+        if off != around.boilerplate or begins:
             self.flush_line()
+        asides = around.asides
+        if begins:
+            asides = (*asides, self.asides)
+            self.asides += 1
         container = around.container
         if tag in CONTAINER:
             container = len(self.around)
             self.around.append(around.container)
             self.kinds.append("article" if tag in ("article", "main") or ("role", "main") in attrs else tag)
-        self.stack.append(Element(tag, container, off, article))
+        self.stack.append(Element(tag, container, off, article, asides, begins))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -111,13 +122,15 @@ class Lines(HTMLParser):
     def _hinted(attrs: list[tuple[str, str | None]], article: bool) -> bool:
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
-                words = set(_WORDS.findall(value.lower()))
+                words = set(value.lower().split())
                 if words & HINTS or not article and words & OUTER_HINTS:
                     return True
-            elif name in ("hidden",) or name == "aria-hidden" and value == "true":
-                return True
         return False
 
+    @staticmethod
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+
     def _end_open(self, tag: str) -> None:
         """End an open element of this tag, if no other scope began since."""
         for i in range(len(self.stack) - 1, 0, -1):
@@ -128,7 +141,7 @@ class Lines(HTMLParser):
                 return
 
     def _pop_to(self, i: int) -> None:
-        if any(e.tag in BLOCK or e.boilerplate for e in self.stack[i:]):
+        if any(e.tag in BLOCK or e.boilerplate or e.begins for e in self.stack[i:]):
             self.flush_line()
         del self.stack[i:]
 
@@ -180,7 +193,7 @@ def read_lines(html: str) -> Lines:
 def main_text(html: str) -> str:
     """The page's main text: its blocks, joined by newlines."""
     page = read_lines(html)
-    lines = [x for x in page.lines if not x.boilerplate]
+    lines = _left(page)
     if not lines:
         return ""
     ratio = np.array([len(x.text) / max(1, x.tags) for x in lines])
@@ -189,6 +202,17 @@ def main_text(html: str) -> str:
     return "\n".join(x.text for x in lines if _inside(page, x.container, regions))
 
 
+def _left(page: Lines) -> list[Line]:
+    """Lines that aren't set aside, or only in parts that hold most of the text."""
+    lines = [x for x in page.lines if not x.boilerplate]
+    held = [0] * page.asides
+    for x in lines:
+        for a in x.asides:
+            held[a] += len(x.text)
+    total = sum(len(x.text) for x in lines)
+    return [x for x in lines if all(2 * held[a] > total for a in x.asides)]
+
+
 def _inside(page: Lines, container: int, regions: set[int]) -> bool:
     while container >= 0:
         if container in regions:

@@ -93,6 +93,16 @@ def test_language_and_toxicity_on_odd_rows(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).count() == 43
 
 
+def test_hints_around_the_whole_text_do_not_empty_a_page():
+    text = "<p>" + "A long enough paragraph of the text. " * 5 + "<p>" + "Another one with <b>bold</b> words in it. " * 5
+    want = "\n".join(html_extract.main_text(f"<body><article>{text}</article></body>").splitlines())
+    assert want.count("paragraph") == 5 and want.count("bold") == 5
+    for page in ('<body class="has-sidebar">%s', '<body class="no-sidebar comments-open">%s', '<body class="sidebar">%s', '<body><article class="post no-comments">%s</article>', '<body><main id="search-content">%s</main>',
+                 '<body><form id="aspnetForm">%s</form>', '<body><form><div class="menu">Home</div><div class="content">%s</div></form><div class="ad">Buy</div>'):
+        assert html_extract.main_text(page % text) == want, page
+    assert html_extract.main_text(f'<body><article>{text}</article><form>Search</form><div class="ad">Buy</div>') == want
+
+
 def test_pages_on_odd_markup(spark):
     page = "<body><nav>Menu</nav><article><h1>T &amp; U</h1><p>One\n two<b>x<p>Ok.<div class=ad>Buy</div></article><footer>f</footer>"
     rows = [(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "<p>cut <a hr", "x"), (1, "u", page, "x")]
