@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clausegrid.functions.constants import HIGHLIGHT_STOP_WORDS, SIMILARITY_STOP_WORDS
+from clausegrid.functions.constants import ABBREVIATION_END, HIGHLIGHT_STOP_WORDS, SIMILARITY_STOP_WORDS
 
 SENTENCE_BREAK = "\x01"
 
@@ -15,9 +15,16 @@ def paragraphs(text: Column, separator: str = r"\n\s*\n+") -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def sentences(text: Column) -> Column:
-    """Trimmed sentences: text up to a full stop, exclamation or question mark and white space."""
+#: A break after an abbreviation (letters beyond ASCII belong to words) before what may go on from it.
+_ABBREVIATION = ABBREVIATION_END.removesuffix(r"\s*$").replace(r"\b", r"(?<![\p{L}\p{N}_])")
+_NO_BREAK = f"(?i)({_ABBREVIATION}){SENTENCE_BREAK}(?=[A-Za-z0-9,:;]|\\([0-9A-Za-z]+\\))"
+
+
+def sentences(text: Column, merge: bool = False) -> Column:
+    """Trimmed sentences: text up to a full stop, exclamation or question mark and white space; if merge, not after an abbreviation."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+", f"$1{SENTENCE_BREAK}")
+    if merge:
+        marked = F.regexp_replace(marked, _NO_BREAK, "$1 ")
     return F.filter(F.transform(F.split(marked, SENTENCE_BREAK), lambda x: F.trim(x)), lambda x: x != "")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausegrid.functions import text as X
+from clausegrid.functions.constants import ABBREVIATION_END
 from clausegrid.operators import analytics as A
 from clausegrid.operators import claims as C
 from clausegrid.operators import retrieval as R
@@ -41,6 +42,8 @@ sent0 AS (SELECT doc_id, paragraph_id, unnest(ss) AS sentence, generate_subscrip
 sent AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_id, sentence_id) - 1 AS sentence_global_idx FROM sent0)
 """
 LINE = "\n"
+#: Word boundaries of the SQL's patterns know ASCII only.
+ABBREVIATION = ABBREVIATION_END.replace(r"\b", r"(?:^|[^\p{L}\p{N}_])")
 
 
 @query("SELECT doc_id, p.i AS paragraph_id, p.t AS paragraph FROM (SELECT doc_id, unnest([{'i': i - 1, 't': ps[i]} for i in range(1, len(ps) + 1)]) AS p FROM (SELECT doc_id, [trim(x) for x in string_split(coalesce(text, ''), chr(10)) if trim(x) <> ''] AS ps FROM documents))")
@@ -67,6 +70,16 @@ def abbrev_merge(spark, t):
     return R.merge_abbreviations(R.split_sentences(docs))
 
 
+@query(f"""
+WITH {SENT},
+f AS (SELECT *, CASE WHEN regexp_matches(coalesce(lag(sentence) OVER w, ''), '(?i){ABBREVIATION}') AND regexp_matches(sentence, '^\\s*([A-Za-z0-9,:;]|\\([0-9A-Za-z]+\\))') THEN 0 ELSE 1 END AS brk FROM sent WINDOW w AS (PARTITION BY doc_id, paragraph_id ORDER BY sentence_id)),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, paragraph_id ORDER BY sentence_id) AS island FROM f)
+SELECT doc_id, CAST(paragraph_id AS BIGINT) AS paragraph_id, CAST(island - 1 AS BIGINT) AS sentence_id, string_agg(sentence, ' ' ORDER BY sentence_id) AS sentence FROM i GROUP BY doc_id, paragraph_id, island
+""")
+def abbrev_merge_documents(spark, t):
+    return R.split_sentences(t("documents"), LINE, merge=True).drop("sentence_global_idx")
+
+
 @query("SELECT doc_id, len(tk) AS n_tokens, len(list_distinct(tk)) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tk FROM documents)")
 def bm25_tokens(spark, t):
     tk = X.tokens(F.col("text"))
@@ -103,8 +116,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY s
 """
 
 
-def _bm25(spark, t):
-    sentences, asked = R.split_sentences(t("documents"), LINE), spark.sql(f"SELECT * FROM {ASKED} AS v(query_id, text)")
+def _bm25(spark, t, asked=None):
+    sentences, asked = R.split_sentences(t("documents"), LINE), asked or spark.sql(f"SELECT * FROM {ASKED} AS v(query_id, text)")
     scores = R.with_zero_tail(R.bm25(sentences, asked), sentences, asked)
     return scores.select("query_id", "doc_id", "sent", (F.round("score", 6) + 0.0).alias("score"))
 
@@ -114,6 +127,12 @@ def bm25_topk(spark, t):
     return R.top_k(_bm25(spark, t), 5, ["query_id", "doc_id"], "sent")
 
 
+@query(f"WITH {BM25.replace(ASKED, '(SELECT item_id, text FROM benchmark WHERE item_id % 100 = 0)')} SELECT query_id, doc_id, sent, score, rank FROM ranked WHERE rank <= 5")
+def bm25_topk_benchmark(spark, t):
+    asked = t("benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return R.top_k(_bm25(spark, t, asked), 5, ["query_id", "doc_id"], "sent")
+
+
 @query(f"""WITH {BM25}, a AS (SELECT * FROM ranked WHERE query_id = 1 AND rank <= 200), b AS (SELECT * FROM ranked WHERE query_id = 2 AND rank <= 200)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.sent, b.sent) AS sent, a.rank AS rank_a, b.rank AS rank_b, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 8) AS score
 FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.sent = b.sent""")
@@ -350,6 +369,12 @@ def enumeration_islands(spark, t):
     return C.enumeration_groups(m, said).select("claim_id", "island", F.array_join(F.transform("members", lambda x: x["text"]), "|").alias("members"))
 
 
+@query()
+def enumeration_islands_documents(spark, t):
+    said = t("documents").select(F.col("doc_id").alias("claim_id"), F.coalesce("text", F.lit("")).alias("claim_text"))
+    return C.enumeration_groups(C.mentions(said), said).select("claim_id", "island", F.array_join(F.transform("members", lambda x: x["text"]), "|").alias("members"))
+
+
 CLAIM = "(VALUES (1, 'A method for cooling a battery comprising: measuring a temperature of the battery; comparing the temperature with a threshold; and starting a pump when the temperature exceeds the threshold.'), (2, 'A system, comprising: at least one of a pump; a valve; or a hose (red; blue); selecting the device based on a rank between 1 and 5, wherein the rank is stored.'))"
 
 

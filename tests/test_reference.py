@@ -78,3 +78,18 @@ def test_mentions_key_on_compounds_and_take_bare_nouns():
     assert _unintroduced("A car with a fuel pump, wherein the electric fuel pump is on.") == []
     found = sequence.mentions("Coolant cools a cell.")
     assert found[0]["kind"] == "bare" and found[0]["key"] == "coolant" and all(found[i]["start"] < found[i + 1]["start"] for i in range(len(found) - 1))
+
+
+def test_search_keeps_sentences_whole_after_abbreviations(spark):
+    from clausegrid.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "See FIG. 2 for details. Smith et al. describe it. FIG. No. 5 is (old). Next one. (a) first.")], "doc_id long, text string")
+    split = retrieval.split_sentences(docs, "\n", merge=True)
+    merged = retrieval.merge_abbreviations(retrieval.split_sentences(docs, "\n"))
+    assert sorted(r.sentence for r in split.collect()) == sorted(r.sentence for r in merged.collect())
+    assert [r.sentence for r in split.orderBy("sentence_global_idx").collect()][:3] == ["See FIG. 2 for details.", "Smith et al. describe it.", "FIG. No. 5 is (old)."]
+
+
+def test_enumerations_of_a_whole_table(spark):
+    got = catalog.QUERIES["enumeration_islands_documents"](spark, SF)
+    assert got.columns == ["claim_id", "island", "members"] and got.where("members NOT LIKE '%|%'").isEmpty()
