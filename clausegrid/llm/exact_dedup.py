@@ -1,9 +1,10 @@
 """Exact dedup as a log-structured merge index, in DataFrame operations only.
 
 Each input partition is a memtable. It is flushed as one run: a Parquet file of (digest, doc_id, uid) sorted by
-digest, whose footer holds the run's filters (Parquet Bloom filter and min/max of the digest). Compaction merges
-all runs: first the rows of a digest within a salt, then the digest, so that a group with a third of all rows is
-pre-aggregated and never meets in one task. It keeps one identifier per digest. Hits (digests of more than one row)
+digest, whose footer holds the run's filters (Parquet Bloom filter and min/max of the digest). Nothing here reads
+those filters: compaction is an aggregate over the rows of all runs, which needs neither them nor the order, first by
+a digest within a salt, then by the digest, so that a group with a third of all rows is pre-aggregated and never meets
+in one task. It keeps one identifier per digest. Hits (digests of more than one row)
 are verified on the text's bytes: a bit filter of bounded size over the digests of the hits lets only their texts
 through to an aggregate that compares the least and the greatest text of each digest. Digests that fail are
 regrouped by the texts themselves.
