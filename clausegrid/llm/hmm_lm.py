@@ -3,18 +3,24 @@
 Tokens are a text's words and one end. A word of at least HEAD of all training tokens is a symbol of its own (at most
 1 / HEAD words are); any other word is the symbol of its class, by its last bytes, and within the class has its share
 of the class's training tokens (add one; the unseen words of a class share one more). STATES latent states emit the
-symbols. Baum-Welch starts from the corpus's symbol shares, spread by a seed, and takes START_ROUNDS + PASSES rounds,
-each a pass over all training texts: each task adds up its expected counts and the cluster sums them by symbol; the
-driver gets one row per symbol. The symbols are written once, as windows of WINDOW tokens, which bounds what the
-backward recursion keeps; every round reads them all. A text is scored whole by the scaled forward recursion over all
-of its symbols, so the score is its exact likelihood.
+symbols. Baum-Welch starts from the corpus's symbol shares, spread by a seed, and each round is a pass over all
+training texts, every token of them: each task adds up its expected counts and the cluster sums them by symbol; the
+driver gets one row per symbol. Rounds end when one gains less than GAIN in the mean log10 likelihood of a training
+token (and at ROUNDS). The texts are encoded once, and every round and the scoring read the symbols.
+
+Recursions run over many sequences at once, a token of each in a step. A text of more than WINDOW tokens is cut in
+windows that run side by side: the product of a window's transition and emission matrices takes what is known before
+it to what is known after it, so one walk over a text's windows gives each the exact state before and behind it. Counts
+and likelihoods are those of the whole text, and memory is bounded by BLOCK tokens beside the text's own symbols.
 
 Words that have no symbol aren't sent to the tasks: a text's such words are joined with the vocabulary's counts by
-word, and summed by text. What is broadcast is bounded by 1 / HEAD words.
+word, and summed by text; AQE splits the rows of a word that many texts have. What is broadcast is bounded by 1 / HEAD
+words.
 
 Defined cases: null text counts as empty, with the end as its only token; without training texts every base score is
 that of N = V = 0 and the model has one class and one state's share each; repeated rows give a row each, and count
-each in training; a null id is in no fold and trains; other columns are not read.
+each in training; a null id is in no fold and trains; of equal texts every one has the same scores, and words that tie
+in count are told apart by their bytes; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,13 +42,15 @@ END = b""
 HEAD = 2e-6
 CLASSES = 1024
 STATES = 8
-START_ROUNDS = 12
-PASSES = 1
+#: Rounds of Baum-Welch at most; the gain in log10 likelihood of a token below which they end.
+ROUNDS, GAIN = 13, 0.002
+#: Chance at the start that a state goes on, and how far the start's emissions are spread around the shares.
+STAY, SPREAD = 0.99, 0.5
 WINDOW = 2048
 #: Tokens' worth of the corpus's own symbol shares that each state's emissions are smoothed with.
 SMOOTHING = 20.0
 SLICE = 6_000_000
-#: Tokens that a recursion works on at a time; one longer step is worked on whole.
+#: Tokens that a recursion works on at a time.
 BLOCK = 800_000
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 200_000
@@ -88,80 +96,160 @@ class Model:
                 found[i] = n + word_class(words[i])
         return np.array(found, np.int32), rare
 
-    def forward(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 of the likelihood of each sequence of symbols."""
-        return _forward(self, texts)[0]
+    def forward(self, texts: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
+        """log10 of the likelihood of each sequence of symbols. None is empty."""
+        return _cut(self, texts, window)[0]
 
 
-def _order(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Longest first: (order, all symbols, where each text starts, how many texts have a token t)."""
-    lengths = np.array([len(x) for x in texts], np.int64)
+def _steps(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(order of the sequences, longest first; all symbols, those of each step together; where each step begins)."""
+    lengths = np.array([len(x) for x in sequences], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int32)
-    lengths = lengths[order]
+    flat, lengths = np.concatenate([sequences[i] for i in order]), lengths[order]
     starts = np.cumsum(lengths) - lengths
-    alive = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
-    return order, flat, starts, alive
-
-
-def _forward(model: Model, texts: list[np.ndarray], keep: bool = False):
-    """(log10 likelihoods, what the backward recursion needs: of all tokens, step by step). No text is empty."""
-    order, flat, starts, alive = _order(texts)
-    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    logs = np.zeros(len(texts))
-    steps = np.concatenate([[0], np.cumsum(alive)])
-    a, kept, t0 = None, None, 0
-    while t0 < len(alive):
-        t1 = len(alive) if keep else max(t0 + 1, int(np.searchsorted(steps, steps[t0] + BLOCK, side="right")) - 1)
-        own, counts = steps[t0 : t1 + 1] - steps[t0], alive[t0:t1]
-        text = np.arange(own[-1]) - np.repeat(own[:-1], counts)
-        symbols = flat[starts[text] + np.repeat(np.arange(t0, t1), counts)]
-        seen = emit.take(symbols, axis=1)
-        # States x tokens, so that each operation runs along the tokens of a step.
-        forward, scale = np.empty_like(seen), np.empty(len(symbols), seen.dtype)
-        cuts = own.tolist()
+    alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    cuts = np.concatenate([[0], np.cumsum(alive)])
+    text = np.arange(cuts[-1]) - np.repeat(cuts[:-1], alive)
+    return order, flat[starts[text] + np.repeat(np.arange(len(alive)), alive)], cuts.tolist()
+
+
+def _batches(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Numbers of the sequences, in runs of at most BLOCK tokens (or one sequence)."""
+    ends = np.cumsum([len(x) for x in sequences])
+    at = 0
+    while at < len(sequences):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
+        yield np.arange(at, end)
+        at = end
+
+
+def _forward(model: Model, sequences: list[np.ndarray], priors: np.ndarray):
+    """Scaled forward recursion from what is known before each sequence (a row of priors).
+
+    (log10 likelihoods, order, symbols, cuts, emissions, forward values, rows of the last tokens). Values are scaled
+    to a sum of one at every other step, and the emissions there with them.
+    """
+    order, symbols, cuts = _steps(sequences)
+    k = len(model.start)
+    seen = model.emit.take(symbols, axis=0)
+    forward, ones = np.empty_like(seen), np.ones((k, k), seen.dtype)
+    sums, a = np.empty((len(sequences), k), seen.dtype), None
+    logs = np.zeros(len(sequences))
+    for t, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        now, e = forward[i:j], seen[i:j]
+        if a is None:
+            np.multiply(priors[order], e, out=now)
+        else:
+            np.matmul(a[: j - i], model.move, out=now)
+            now *= e
+        if t % 2 == 0:
+            s = np.matmul(now, ones, out=sums[: j - i])
+            now /= s
+            e /= s
+            logs[: j - i] += np.log10(s[:, 0], dtype=np.float64)
+        a = now
+    lengths = np.array([len(sequences[i]) for i in order])
+    last = np.array(cuts)[lengths - 1] + np.arange(len(order))
+    total = np.empty(len(order))
+    total[order] = logs + np.log10(forward[last].sum(axis=1, dtype=np.float64))
+    return total, order, symbols, cuts, seen, forward, last
+
+
+def _matrices(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(what takes the state before each sequence to that of its last token, scaled; log10 of the scale)."""
+    k = len(model.start)
+    out, logs = np.empty((len(sequences), k, k)), np.zeros(len(sequences))
+    for part in _batches(sequences):
+        order, symbols, cuts = _steps([sequences[i] for i in part])
+        a, scale = None, np.zeros(len(part))
         for i, j in zip(cuts, cuts[1:]):
-            now, c = forward[:, i:j], scale[i:j]
+            e = model.emit.take(symbols[i:j], axis=0)[:, None, :]
             if a is None:
-                np.multiply(model.start[:, None], seen[:, i:j], out=now)
-            else:
-                np.matmul(move, a[:, : j - i], out=now)
-                now *= seen[:, i:j]
-            now.sum(axis=0, out=c)
-            now /= c
-            a = now
-        logs += np.bincount(text, weights=np.log10(scale, dtype=np.float64), minlength=len(logs))
-        if keep:
-            kept = symbols, seen, forward, scale, cuts
-        a, t0 = a.copy(), t1
+                a = e * np.eye(k, dtype=e.dtype)
+                continue
+            now = (a[: j - i].reshape(-1, k) @ model.move).reshape(-1, k, k)
+            now *= e
+            s = now.sum(axis=(1, 2))
+            now /= s[:, None, None]
+            a[: j - i] = now
+            scale[: j - i] += np.log10(s, dtype=np.float64)
+        out[part[order]], logs[part[order]] = a, scale
+    return out, logs
+
+
+def _cut(model: Model, texts: list[np.ndarray], window: int, counts: bool = False):
+    """(log10 likelihood of each text; or, if counts are asked for, that of the long texts alone, the sequences of at
+    most `window` tokens, short texts first, how many these are, the chances of the states before each and weights of
+    the states after it, which of them begin a text, and the expected moves from one sequence to the next)."""
+    k = len(model.start)
     total = np.zeros(len(texts))
-    total[order] = logs
-    return total, kept
-
-
-def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected (starts by state, moves from and to a state, emissions by symbol and state)."""
+    short = [i for i, x in enumerate(texts) if len(x) <= window]
+    long = [i for i, x in enumerate(texts) if len(x) > window]
+    sequences = [texts[i] for i in short]
+    priors, exits = [np.tile(model.start, (len(short), 1))], [np.ones((len(short), k), model.emit.dtype)]
+    begins, moves = [True] * len(short), np.zeros((k, k))
+    if not counts:
+        for part in _batches(sequences):
+            own = [sequences[i] for i in part]
+            total[np.array(short)[part]] = _forward(model, own, np.tile(model.start, (len(own), 1)))[0]
+    parts = [[texts[i][at : at + window] for at in range(0, len(texts[i]), window)] for i in long]
+    through, logs = _matrices(model, [w for p in parts for w in p])
+    at, move = 0, model.move.astype(np.float64)
+    for i, own in zip(long, parts):
+        m, n = through[at : at + len(own)], len(own)
+        total[i] = logs[at : at + n].sum()
+        at += n
+        before, ends, after, firsts = [model.start.astype(np.float64)], [], [np.ones(k)], []
+        for x in m:
+            a = before[-1] @ x
+            total[i] += math.log10(a.sum())
+            ends.append(a / a.sum())
+            before.append(ends[-1] @ move)
+        if not counts:
+            continue
+        for x in m[::-1]:
+            w = x @ after[-1]
+            firsts.append(w / w.sum())
+            after.append(move @ firsts[-1])
+        for a, w in zip(ends, firsts[-2::-1]):
+            joint = a[:, None] * move * w
+            moves += joint / joint.sum()
+        sequences += own
+        priors.append(np.array(before[:-1], model.emit.dtype))
+        exits.append(np.array(after[-2::-1], model.emit.dtype))
+        begins += [True] + [False] * (n - 1)
+    return (total, sequences, len(short), np.concatenate(priors), np.concatenate(exits), np.array(begins, bool), moves) if counts else (total,)
+
+
+def expected_counts(model: Model, texts: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch: expected (starts by state, moves from and to a state, emissions by symbol and state), and the log10 likelihood."""
     k = len(model.start)
-    moves, emitted = np.zeros((k, k)), np.zeros((len(model.emit), k))
+    starts, inner, emitted, log = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k)), 0.0
     if not texts:
-        return np.zeros(k), moves, emitted
-    symbols, seen, gamma, scale, cuts = _forward(model, texts, keep=True)[1]
-    seen /= scale
-    b = np.ones((k, 0), seen.dtype)  # of the texts that go on; it is one for those that end
-    for i, j, end in zip(cuts[-3::-1], cuts[-2:0:-1], cuts[:1:-1]):
-        now, weighted = gamma[:, i : i + end - j], seen[:, j:end]
-        weighted[:, : b.shape[1]] *= b
-        moves += now @ weighted.T
-        b = model.move @ weighted
-        now *= b
-    gamma /= gamma.sum(axis=0)
-    for s in range(k):
-        emitted[:, s] = np.bincount(symbols, weights=gamma[s], minlength=len(emitted))
-    return gamma[:, : cuts[1]].sum(axis=1, dtype=np.float64), moves * model.move, emitted
-
-
-def windows(symbols: np.ndarray) -> list[np.ndarray]:
-    return [symbols[i : i + WINDOW] for i in range(0, len(symbols), WINDOW)]
+        return starts, inner, emitted, log
+    total, sequences, short, priors, exits, begins, moves = _cut(model, texts, window, counts=True)
+    log = float(total.sum())
+    back = np.ascontiguousarray(model.move.T)
+    for part in _batches(sequences):
+        own = [sequences[i] for i in part]
+        logs, order, symbols, cuts, seen, forward, last = _forward(model, own, priors[part])
+        log += float(logs[part < short].sum())
+        b, held = exits[part][order], np.empty((len(own), k), seen.dtype)
+        # With this scale the forward and backward values of a token are its states' chances.
+        b /= (forward[last] * b).sum(axis=1, keepdims=True)
+        forward[cuts[-2] :] *= b[: cuts[-1] - cuts[-2]]
+        for i, j, end in zip(cuts[-3::-1], cuts[-2:0:-1], cuts[:1:-1]):
+            n = end - j
+            now = forward[i:j]
+            weighted = np.multiply(seen[j:end], b[:n], out=held[:n])
+            inner += now[:n].T @ weighted
+            np.matmul(weighted, back, out=b[:n])
+            now *= b[: j - i]
+        at = symbols.astype(np.int64)
+        for s in range(k):
+            emitted[:, s] += np.bincount(at, weights=forward[:, s], minlength=len(emitted))
+        starts += forward[: cuts[1]][begins[part][order]].sum(axis=0, dtype=np.float64)
+    return starts, inner * model.move + moves, emitted, log
 
 
 def maximise(model: Model, starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, shares: np.ndarray) -> None:
@@ -193,7 +281,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _first_model(docs: DataFrame, vocab: DataFrame, states: int, head: float) -> tuple[Model, np.ndarray]:
+def _first_model(vocab: DataFrame, states: int, head: float) -> tuple[Model, np.ndarray]:
     """The model before training, and the corpus's shares of its symbols."""
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(2.0, n * head)
@@ -220,35 +308,44 @@ def _first_model(docs: DataFrame, vocab: DataFrame, states: int, head: float) ->
     shares = np.concatenate([c, rare[:, 0]]) + 0.5
     shares = shares / shares.sum()
     rng = np.random.default_rng(5)
-    emit = shares[:, None] * rng.uniform(0.2, 1.8, (len(shares), states))
-    move = np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    emit = shares[:, None] * rng.uniform(1 - SPREAD, 1 + SPREAD, (len(shares), states))
+    move = np.full((states, states), (1 - STAY) / max(1, states - 1))
+    np.fill_diagonal(move, STAY if states > 1 else 1.0)
     model = Model(words, np.log10(c + 1.0), np.log10(rare.sum(axis=1) + 1), int(n), int(v), np.full(states, 1 / states, np.float32), move.astype(np.float32), np.ascontiguousarray(emit / emit.sum(axis=0), np.float32))
     return model, shares
 
 
-def _encoded(model: Model, docs: DataFrame) -> DataFrame:
-    """The symbols (32 bits each) of all windows of all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+_ENCODED = "uid long, doc_id long, held_out boolean, symbols binary, words array<binary>, times array<long>"
+
+
+def _encoded(model: Model, rows: DataFrame) -> DataFrame:
+    """uid, doc_id, held_out of each text, its symbols (32 bits each), and its words that have none of their own, with their times."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in text_slices(batches):
-            cut = [w.tobytes() for x in text_bytes(batch) for w in windows(own.encode(tokens(x))[0])]
-            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], names=["symbols"])
-
-    table = materialize(docs.select("text").mapInArrow(run, "symbols binary"), "lm-symbols")
+        for batch in text_slices(batches, limit=SLICE):
+            symbols, words, times = [], [], []
+            for x in text_bytes(batch):
+                s, rare = own.encode(tokens(x))
+                seen = Counter(rare)
+                symbols.append(s.tobytes())
+                words.append(list(seen))
+                times.append(list(seen.values()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(symbols, pa.binary()), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=["uid", "doc_id", "held_out", "symbols", "words", "times"])
+
+    table = materialize(rows.select("uid", "doc_id", "held_out", "text").mapInArrow(run, _ENCODED), "lm-symbols")
     shared.unpersist()
     return table
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Windows in lists of at most BLOCK tokens."""
+    """Texts' symbols in lists of at most BLOCK tokens, or one text."""
     held, size = [], 0
     for batch in batches:
         for x in batch.column("symbols").to_pylist():
             x = np.frombuffer(x, np.int32)
-            if size + len(x) > BLOCK:
+            if held and size + len(x) > BLOCK:
                 yield held
                 held, size = [], 0
             held.append(x)
@@ -257,8 +354,8 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _baum_welch(model: Model, shares: np.ndarray, encoded: DataFrame) -> None:
-    """One pass over all texts: expected counts by task, summed by symbol, then new parameters."""
+def _baum_welch(model: Model, shares: np.ndarray, encoded: DataFrame) -> float:
+    """One pass over all texts: expected counts by task, summed by symbol, then new parameters. The log10 likelihood before."""
     spark, k = encoded.sparkSession, len(model.start)
     shared = spark.sparkContext.broadcast(Model([], np.zeros(0), np.zeros(0), 0, 0, model.start, model.move, model.emit))
     columns = [f"s{i}" for i in range(k)]
@@ -266,54 +363,56 @@ def _baum_welch(model: Model, shares: np.ndarray, encoded: DataFrame) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         n = len(own.emit)
-        total = np.zeros((n + k + 1, k))  # emissions by symbol; moves by origin; starts
+        total = np.zeros((n + k + 2, k))  # emissions by symbol; moves by origin; starts; the likelihood
         for held in _held(batches):
-            starts, moves, emitted = expected_counts(own, held)
+            starts, moves, emitted, log = expected_counts(own, held)
             total[:n] += emitted
             total[n : n + k] += moves
             total[n + k] += starts
+            total[n + k + 1, 0] += log
         at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, i], pa.float32()) for i in range(k))], names=["symbol", *columns])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, i]) for i in range(k))], names=["symbol", *columns])
 
-    summed = encoded.mapInArrow(run, "symbol int, " + ", ".join(f"{c} float" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    summed = encoded.select("symbols").mapInArrow(run, "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
     shared.destroy()
     n = len(model.emit)
-    total = np.zeros((n + k + 1, k))
-    total[summed.column("symbol").to_numpy()] = np.stack([summed.column(c).to_numpy() for c in columns], axis=1) if summed.num_rows else 0
+    total = np.zeros((n + k + 2, k))
     if summed.num_rows:
+        total[summed.column("symbol").to_numpy()] = np.stack([summed.column(c).to_numpy() for c in columns], axis=1)
         maximise(model, total[n + k], total[n : n + k], total[:n], shares)
+    return float(total[n + k + 1, 0])
 
 
-def train(docs: DataFrame, states: int = STATES, passes: int = PASSES, head: float = HEAD, start_rounds: int = START_ROUNDS) -> tuple[Model, DataFrame]:
-    """(model, vocabulary) from all texts of docs (uid, text), each of which takes part in every round."""
-    vocab = materialize(vocabulary(docs), "lm-vocabulary")
-    model, shares = _first_model(docs, vocab, states, head)
-    encoded = _encoded(model, docs)
-    for _ in range(start_rounds + passes):
-        _baum_welch(model, shares, encoded)
-    return model, vocab
+def train(rows: DataFrame, states: int = STATES, head: float = HEAD, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[Model, DataFrame, DataFrame]:
+    """(model, vocabulary, all texts encoded) from rows (uid, doc_id, held_out, text). Every text that isn't held out takes part in every round."""
+    vocab = materialize(vocabulary(rows.where("not held_out").select("text")), "lm-vocabulary")
+    model, shares = _first_model(vocab, states, head)
+    encoded = _encoded(model, rows)
+    last = -math.inf
+    for _ in range(rounds):
+        now = _baum_welch(model, shares, encoded.where("not held_out")) / max(1, model.n)
+        if now - last < gain:
+            break
+        last = now
+    return model, vocab, encoded
 
 
-def score(rows: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
-    """uid, doc_id, held_out, n_tokens, n_known, base_score, score of each text of rows (uid, doc_id, held_out, text).
+def score(encoded: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
+    """uid, doc_id, held_out, n_tokens, n_known, base_score, score of each text of `_encoded`.
 
-    uid only ties a text's rare words to it within the table written here, so it needn't be the same on another read.
+    uid only ties a text's rare words to it within that table, so it needn't be the same on another read.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         n_head = len(own.head)
         known = own.head_log > 0
-        for batch in text_slices(batches, limit=SLICE):
-            symbols, rare, words = [], [], []
-            for x in text_bytes(batch):
-                s, r = own.encode(tokens(x))
-                symbols.append(s)
-                times = Counter(r)
-                words.append(list(times))
-                rare.append(list(times.values()))
-            likely = own.forward(symbols)
+        for batch in batches:
+            symbols = [np.frombuffer(x, np.int32) for x in batch.column("symbols").to_pylist()]
+            likely = np.zeros(len(symbols))
+            for part in _batches(symbols):
+                likely[part] = own.forward([symbols[i] for i in part])
             base, head_known, inside = [], [], []
             for s in symbols:
                 h = s[s < n_head]
@@ -321,17 +420,16 @@ def score(rows: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
                 head_known.append(int(known[h].sum()))
                 inside.append(own.class_log[s[s >= n_head] - n_head].sum())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(map(len, symbols), pa.int64()), pa.array(head_known, pa.int64()), pa.array(base, pa.float64()), pa.array(likely - np.array(inside)), pa.array(words, pa.list_(pa.binary())), pa.array(rare, pa.list_(pa.int64()))],
-                names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "words", "times"],
+                [*(batch.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(map(len, symbols), pa.int64()), pa.array(head_known, pa.int64()), pa.array(base, pa.float64()), pa.array(likely - np.array(inside))],
+                names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score"],
             )
 
-    done = rows.select("uid", "doc_id", "held_out", "text").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, words array<binary>, times array<long>")
-    done = materialize(done, "lm-scored")
+    done = encoded.select("uid", "doc_id", "held_out", "symbols").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double")
     # Each rare word of a text meets its count; a word here has fewer than HEAD of all training tokens.
-    rest = done.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rest = encoded.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     counted = rest.join(vocab, "word").groupBy("uid").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_log"))
     zero = F.lit(0.0)
-    return done.drop("words", "times").join(counted, "uid", "left").select(
+    return done.join(counted, "uid", "left").select(
         "uid",
         "doc_id",
         "held_out",
@@ -345,8 +443,8 @@ def score(rows: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Train on the texts that aren't held out, score all."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model, vocab = train(rows.where("not held_out").select("uid", "text"), **options)
-    return score(rows, model, vocab).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    model, vocab, encoded = train(rows, **options)
+    return score(encoded, model, vocab).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm_score(spark, sf_dir):

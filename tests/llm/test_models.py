@@ -43,13 +43,35 @@ def test_forward_is_the_sum_over_paths():
     for x, got in zip(texts, m.forward(texts)):
         total = sum(m.start[p[0]] * m.emit[x[0], p[0]] * math.prod(m.move[p[i - 1], p[i]] * m.emit[x[i], p[i]] for i in range(1, len(x))) for p in itertools.product((0, 1), repeat=len(x)))
         assert abs(got - math.log10(total)) < 1e-9
-    starts, moves, emitted = hmm_lm.expected_counts(m, texts)
+    starts, moves, emitted, log = hmm_lm.expected_counts(m, texts)
     assert abs(starts.sum() - 3) < 1e-9 and abs(moves.sum() - 6) < 1e-9 and abs(emitted.sum() - 9) < 1e-9
+    assert abs(log - m.forward(texts).sum()) < 1e-9
+
+
+def test_expected_counts_are_sums_over_paths_also_of_texts_cut_in_windows():
+    rng = np.random.default_rng(4)
+    m = hmm_lm.Model([b""], np.zeros(1), np.zeros(hmm_lm.CLASSES), 1, 1, rng.dirichlet([1, 1]), rng.dirichlet([1, 1], 2), rng.dirichlet([1] * 3, 2).T.copy())
+    texts = [rng.integers(0, 3, n).astype(np.int32) for n in (1, 7, 9, 4)]
+    starts, moves, emitted, log = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), 0.0
+    for x in texts:
+        weights = {p: m.start[p[0]] * m.emit[x[0], p[0]] * math.prod(m.move[p[i - 1], p[i]] * m.emit[x[i], p[i]] for i in range(1, len(x))) for p in itertools.product((0, 1), repeat=len(x))}
+        total = sum(weights.values())
+        log += math.log10(total)
+        for p, w in weights.items():
+            starts[p[0]] += w / total
+            for i, s in enumerate(p):
+                emitted[x[i], s] += w / total
+                if i:
+                    moves[p[i - 1], s] += w / total
+    for window in (2, 3, 100):
+        got = hmm_lm.expected_counts(m, texts, window)
+        assert all(np.allclose(a, b) for a, b in zip(got, (starts, moves, emitted, log)))
+        assert np.allclose(m.forward(texts, window).sum(), log)
 
 
 def test_scores_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, "A b a", "x"), (2, None, "x"), (3, "zzz a", "x"), (3, "zzz a", "x"), (None, "b", "x")], "doc_id long, text string, uid string")
-    rows = {r.doc_id: r for r in hmm_lm.score_documents(docs, F.col("doc_id") == 3, start_rounds=1).collect()}
+    rows = {r.doc_id: r for r in hmm_lm.score_documents(docs, F.col("doc_id") == 3, rounds=1).collect()}
     n, v, c = 7, 3, {"a": 2, "b": 2, "end": 3}
     assert (rows[3].train_tokens, rows[3].n_tokens, rows[3].n_known, rows[3].held_out) == (n, 3, 2, True)
     assert abs(rows[3].base_score - sum(math.log10((k + 1) / (n + v + 1)) for k in (0, c["a"], c["end"]))) < 1e-9
@@ -60,16 +82,21 @@ def test_scores_on_odd_rows(spark):
 def test_every_token_takes_part_in_every_round(spark):
     rng = np.random.default_rng(2)
     texts = [" ".join(f"{'ab'[i > 3500]}{x}" for i, x in enumerate(rng.integers(0, 30, 5000))), "a1 b1 b1", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
-    vocab = hmm_lm.vocabulary(docs)
-    want, shares = hmm_lm._first_model(docs, vocab, 3, hmm_lm.HEAD)
-    cut = [w for x in texts for w in hmm_lm.windows(want.encode(hmm_lm.tokens((x or "").encode()))[0])]
+    docs = spark.createDataFrame([(i, i, False, x) for i, x in enumerate(texts)], "uid long, doc_id long, held_out boolean, text string")
+    want, shares = hmm_lm._first_model(hmm_lm.vocabulary(docs.select("text")), 3, hmm_lm.HEAD)
+    encoded = [want.encode(hmm_lm.tokens((x or "").encode()))[0] for x in texts]
     for _ in range(4):
-        hmm_lm.maximise(want, *hmm_lm.expected_counts(want, cut), shares)
-    got, _ = hmm_lm.train(docs, states=3, start_rounds=3, passes=1)
+        hmm_lm.maximise(want, *hmm_lm.expected_counts(want, encoded, window=10_000)[:3], shares)
+    got, _, _ = hmm_lm.train(docs, states=3, rounds=4, gain=-1.0)
     assert np.allclose(got.emit, want.emit, rtol=1e-3, atol=1e-6) and np.allclose(got.move, want.move, rtol=1e-3)
 
 
+def test_scores_do_not_hang_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    a, b = ({r.doc_id: r for r in hmm_lm.score_documents(docs.repartition(n), F.col("doc_id") % 7 == 2, rounds=4).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() and all(abs(a[k].score / b[k].score - 1) < 1e-5 and a[k].base_score == pytest.approx(b[k].base_score, abs=1e-8) for k in a)
+
+
 def test_toxicity_finds_misspellings_and_quotation():
     lex = toxicity.Lexicon([("idiot", False), ("lowei", True)])
     assert lex.find("idiot") == ((0, 0),) and lex.find("idi0t") == ((0, 1),) and lex.find("idoit") == () and lex.find("idiots") == ((0, 1),)
