@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,26 +15,30 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands into tokens at a time. One longer text is one slice.
 SLICE_BYTES = 2_000_000
-#: Rows of an Arrow batch, which is held by the JVM and by the worker at once.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch, which is held by the JVM and by the worker at once. One longer row is a batch.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, and bound the rows of an Arrow batch."""
+    """Let Python workers import this package from where the driver has it, and bound an Arrow batch."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine, one of our own if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise RuntimeError("spark.checkpoint.dir names the folder that a cluster shares; it is unset")
         base = f"file://{tempfile.mkdtemp(prefix='clausegrid-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -44,7 +49,16 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clausegrid/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._clausegrid_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of `materialize` that nothing will read any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._clausegrid_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +88,16 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Give what a worker has freed back to the system: workers live on through stages, beside each other."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -92,28 +116,46 @@ def key_filter(keys: DataFrame, key: Column) -> tuple[DataFrame, int]:
     while size < min(MOST_BITS, 64 * n):
         size *= 2
     bit = F.pmod(F.xxhash64(key), F.lit(size))
-    bits = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
+    bits = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     return materialize(bits, "key-filter"), size
 
 
 def in_filter(rows: DataFrame, key: Column, filter_: tuple[DataFrame, int]) -> DataFrame:
-    """rows with __hit: true for every row whose key the filter holds, and for few others."""
+    """rows with hit: true for every row whose key the filter holds, and for few others. Rows have no columns bucket, at, bits."""
     table_, size = filter_
     bit = F.pmod(F.xxhash64(key), F.lit(size))
-    rows = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).withColumn("__at", F.bitmap_bit_position(bit))
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(F.col("__at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftleft(1, cast(__at % 8 as int))").bitwiseAND(byte) > 0
-    return rows.join(F.broadcast(table_), "__bucket", "left").withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__bucket", "__at", "__bits")
+    rows = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).withColumn("at", F.bitmap_bit_position(bit))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftleft(1, cast(at % 8 as int))").bitwiseAND(byte) > 0
+    return rows.join(F.broadcast(table_), "bucket", "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("bucket", "at", "bits")
+
+
+def packed(docs: DataFrame, id_col: str, also: Column | None = None) -> DataFrame:
+    """row (all columns of docs, whatever their names), id, also."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), (F.lit(b"") if also is None else also).alias("also"))
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Condition that rows have the same id (or none) and the same digest (column also)."""
+    return left.id.eqNullSafe(right.id) & (left.also == right.also)
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, also: Column | None = None) -> DataFrame:
-    """docs without the rows whose id is in gone (column __id, and also == __also if given), columns as they came.
+    """docs without the rows whose id is in gone (columns id, and also if a digest is given), columns as they came.
 
     Only the rows that a filter over the ids lets through are joined, so texts that stay needn't be shuffled.
     """
-    marked = in_filter(docs, F.col(id_col), key_filter(gone, F.col("__id")))
-    on = F.col(id_col).eqNullSafe(F.col("__id"))
-    if also is not None:
-        on = on & (also == F.col("__also"))
-    maybe = marked.where("__hit").drop("__hit").join(gone, on, "left_anti")
-    return marked.where("not __hit").drop("__hit").unionByName(maybe)
+    gone = gone.select("id", (F.lit(b"") if also is None else F.col("also")).alias("also"))
+    marked = in_filter(packed(docs, id_col, also), F.col("id"), key_filter(gone, F.col("id")))
+    maybe = marked.where("hit")
+    return marked.where("not hit").unionByName(maybe.join(gone, same_row(maybe, gone), "left_anti")).select("row.*")
+
+
+def one_of_repeated(docs: DataFrame, repeated: DataFrame, id_col: str, also: Column) -> DataFrame:
+    """docs with one of the rows that repeat both id and digest, for those in repeated (id, also)."""
+    if repeated.isEmpty():
+        return docs
+    twice = repeated.select("id", "also").distinct()
+    rows = packed(docs, id_col, also)
+    once = rows.join(twice, same_row(rows, twice), "left_semi").dropDuplicates(["id", "also"]).select("row.*")
+    return drop_rows(docs, twice, id_col, also).unionByName(once)

@@ -266,7 +266,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """docs without those that hold a window of an item; all columns as they came."""
     digest = sha256_bytes(fold(F.col(text_col)))
     prints = find_overlap(docs, benchmark, id_col=id_col, text_col=text_col, also=digest)
-    gone = materialize(prints.where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("also").alias("__also")).distinct(), "decontaminate-dropped")
+    gone = materialize(prints.where("n_hit > 0").select(F.col("doc_id").alias("id"), "also").distinct(), "decontaminate-dropped")
     return drop_rows(docs, gone, id_col, digest)
 
 

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import drop_rows, fold, in_filter, key_filter, materialize
+from clausegrid.llm.common import drop_rows, fold, in_filter, key_filter, materialize, one_of_repeated
 
 #: Salts among which the rows of one digest are dealt.
 SALTS = 16
@@ -55,7 +55,7 @@ def failed_digests(docs: DataFrame, index: DataFrame, text_col: str, digest: Cal
     """Digests that different texts share. Texts of one digest are reduced to two before the shuffle."""
     rows = docs.select(fold(F.col(text_col)).alias("text")).withColumn("digest", digest(F.col("text")))
     hits = key_filter(index.where("group_size > 1").select("digest"), F.col("digest"))
-    return in_filter(rows, F.col("digest"), hits).where("__hit").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("digest")
+    return in_filter(rows, F.col("digest"), hits).where("hit").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("digest")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest: Callable[[Column], Column] = sha256_bytes) -> DataFrame:
@@ -80,21 +80,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they came."""
     groups = exact_groups(docs, id_col, text_col, keep)
-    dropped = materialize(groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("keep_id").alias("__keep"), F.col("digest").alias("__also")), "dedup-dropped")
-    repeated = dropped.where(F.col("__id").eqNullSafe(F.col("__keep")))
-    gone = dropped.where(~F.col("__id").eqNullSafe(F.col("__keep"))).select("__id", "__also").distinct()
+    dropped = materialize(groups.where("not kept").select(F.col("doc_id").alias("id"), F.col("keep_id"), F.col("digest").alias("also")), "dedup-dropped")
+    same = F.col("id").eqNullSafe(F.col("keep_id"))
     digest = sha256_bytes(fold(F.col(text_col)))
-    return one_of_repeated(drop_rows(docs, gone, id_col, digest), repeated, id_col, digest)
-
-
-def one_of_repeated(out: DataFrame, repeated: DataFrame, id_col: str, digest: Column) -> DataFrame:
-    """out with one of the rows that repeat both doc_id and text, for those in repeated (__id, __also)."""
-    if repeated.isEmpty():
-        return out
-    twice = repeated.select("__id", "__also").distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__also"))
-    once = out.join(twice, same, "left_semi").withColumn("__also", digest).dropDuplicates([id_col, "__also"]).drop("__also")
-    return drop_rows(out, twice, id_col, digest).unionByName(once)
+    return one_of_repeated(drop_rows(docs, dropped.where(~same).distinct(), id_col, digest), dropped.where(same), id_col, digest)
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import drop_rows, fold, materialize, text_bytes, text_slices
-from clausegrid.llm.exact_dedup import one_of_repeated, sha256_bytes
+from clausegrid.llm.common import discard, drop_rows, fold, materialize, one_of_repeated, text_bytes, text_slices
+from clausegrid.llm.exact_dedup import sha256_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -251,9 +251,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialize(rows.mapInArrow(_keyed_fingerprints, "doc_id long, fp long, digest binary"), "simhash-prints")
     of = _least_of_class(rows, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
-    found = rows.join(of, "fp").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__also"), kept.alias("kept"))
-    times = materialize(found.groupBy("__id", "__also", "kept").agg(F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "simhash-dropped")
-    out = drop_rows(docs, times.where("not kept").select("__id", "__also"), id_col, digest)
+    found = rows.join(of, "fp").select(F.col("doc_id").alias("id"), F.col("digest").alias("also"), kept.alias("kept"))
+    times = materialize(found.groupBy("id", "also", "kept").agg(F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "simhash-dropped")
+    out = drop_rows(docs, times.where("not kept"), id_col, digest)
     return one_of_repeated(out, times.where("kept"), id_col, digest)
 
 
