@@ -9,7 +9,7 @@ from clausegrid.llm import bpe, decontaminate, exact_dedup, langid, simhash
 from clausegrid.llm.common import materialize, prepare, table
 
 #: Encoded pieces that a worker keeps here, where it holds the memory of the earlier stages as well.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 40_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
