@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import bucket_of, text_bytes, text_slices
+from clausegrid.llm.common import bucket_of, release, text_bytes, text_slices
 
 NGRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
@@ -150,8 +150,9 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], rate
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         found = [counts(x) for x in text_bytes(batch)]
-        at = [np.flatnonzero(c).astype(np.int32) for c in found]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("order"), pa.array(at, pa.list_(pa.int32())), pa.array([c[i] for c, i in zip(found, at)], pa.list_(pa.int64()))], names=["label", "order", "at", "n"])
+        at = [np.flatnonzero(c).astype(np.int16) for c in found]  # BUCKETS are less than 2^15
+        shares = [(c[i] / max(1, c.sum())).astype(np.float32) for c, i in zip(found, at)]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("order"), pa.array(at, pa.list_(pa.int16())), pa.array(shares, pa.list_(pa.float32()))], names=["label", "order", "at", "share"])
 
 
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 7) -> Model:
@@ -160,14 +161,16 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     # The order by hash and id makes the sample the same on every run; the driver gets counts of at most `sample` ids' texts.
     chosen = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(sample)
     sampled = rows.join(F.broadcast(chosen), "doc_id").select("label", F.xxhash64("h", "text").alias("order"), "text")
-    taken = sampled.mapInArrow(_sparse, "label string, order long, at array<int>, n array<long>").toArrow().combine_chunks()
+    taken = sampled.mapInArrow(_sparse, "label string, order long, at array<short>, share array<float>").toArrow().combine_chunks()
     labels = taken.column("label").to_pylist()
     order = sorted(range(len(labels)), key=lambda i, o=taken.column("order").to_pylist(): (o[i], labels[i]))[:sample]
     features = []
     for i in order:
-        n = taken.column("n")[i].values.to_numpy().astype(np.float32)
-        features.append((taken.column("at")[i].values.to_numpy(), n / n.sum()))
-    return train(features, [labels[i] for i in order], seed=seed)
+        features.append((taken.column("at")[i].values.to_numpy(), taken.column("share")[i].values.to_numpy()))
+    model = train(features, [labels[i] for i in order], seed=seed)
+    del taken, features
+    release()  # the driver lives on through the stages that follow
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

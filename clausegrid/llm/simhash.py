@@ -210,7 +210,8 @@ def classes(links: DataFrame) -> DataFrame:
         large = large.unionByName(least.where("m != a").select("a", F.col("m").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "simhash-stars")
+        before, edges = edges, materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "simhash-stars")
+        discard(before)
 
 
 def near_classes(prints: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
