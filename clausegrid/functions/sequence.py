@@ -6,15 +6,19 @@ import re
 from difflib import SequenceMatcher
 
 from clausegrid.functions.constants import (
-    CLAIM_VERBS, DEFINITE_DETERMINERS, ENUMERATION_INTROS, INTRO_DETERMINERS, INTRO_PHRASES, MATCH_THRESHOLD, RANGE_PHRASES, SAME_THRESHOLD, SEGMENT_STARTERS, SIMILARITY_STOP_WORDS,
+    CLAIM_VERBS, COLON_TRANSITIONS, DEFINITE_DETERMINERS, ENUMERATION_INTROS, INTRO_DETERMINERS, INTRO_PHRASES, LIST_ITEM_STARTS, LIST_LOOK_AHEAD, MATCH_THRESHOLD, RANGE_PHRASES, SAME_THRESHOLD,
+    SEGMENT_STARTERS, SIMILARITY_STOP_WORDS,
 )
 
 _DIFF_TOKEN = re.compile(r"\s+|\w+(?:['’]\w+)*|[^\w\s]+")
 
 
 def redline(before: str, after: str) -> dict:
-    """Segments (operation, text) that turn before into after, and counts of tokens other than white space."""
-    a, b = _DIFF_TOKEN.findall(before or ""), _DIFF_TOKEN.findall(after or "")
+    """Segments (operation, text) that turn before into after, and counts of tokens other than white space.
+
+    Runs of white space count as one space, so line breaks are no change.
+    """
+    a, b = (_DIFF_TOKEN.findall(" ".join((x or "").split())) for x in (before, after))
     segments: list[list[str]] = []
     counts = {"before": sum(not t.isspace() for t in a), "after": sum(not t.isspace() for t in b), "unchanged": 0, "inserted": 0, "deleted": 0}
     blocks = 0
@@ -58,69 +62,108 @@ def align(left: list[str], right: list[str]) -> list[dict]:
     return out + [{"kind": "added", "left_index": None, "right_index": j, "similarity": None, "changed": None} for j in free]
 
 
-_TRANSITION = re.compile(r"(?:comprising|consisting of|consisting essentially of|at least the following(?:\s+\w+)?)\s*$", re.I)
-_LIST_ITEM = re.compile(r"\s*(?:and\s+|or\s+)?(?:an?|the|one or more|at least one|a plurality of)\b", re.I)
-LOOK_AHEAD = 119
+def _spaced(phrase: str) -> str:
+    """A phrase as a pattern that takes any white space between its words."""
+    return phrase.replace(" ", r"\s+")
+
+
+def _any(phrases: list[str]) -> str:
+    return "(?:" + "|".join(map(_spaced, phrases)) + ")"
+
+
+_COLON = re.compile(rf"\b(?:{_any(COLON_TRANSITIONS)}|{_spaced('at least the following')}\b(?:\s+\w+)?)\s*$", re.I)
+_LISTING = re.compile(rf"\b{_spaced('at least one of')}\b", re.I)
+_LIST_ITEM = re.compile(rf"\s*{_any(LIST_ITEM_STARTS)}\b", re.I)
+_MARK = re.compile(r"[():;.]")
 
 
 def split_claim(text: str) -> list[tuple[int, int]]:
-    """Ranges of a claim's segments: cut at semicolons, and at colons after a transition, outside parentheses."""
-    depth = start = hard = 0
-    out = []
-    for i, c in enumerate(text):
-        if c == "(":
+    """Ranges of a claim's segments, without the marks that part them.
+
+    Outside parentheses a semicolon parts, unless it goes on with a listing announced since the last mark or full stop;
+    a colon parts behind a transition. Full stops don't.
+    """
+    cuts, listed_from, depth = [0], 0, 0
+    for m in _MARK.finditer(text):
+        at, mark = m.span()[0], m[0]
+        if mark == "(":
             depth += 1
-        elif c == ")":
-            depth = max(0, depth - 1)
-        elif depth:
-            continue
-        elif c == ".":
-            hard = i + 1
-        elif c == ":" and _TRANSITION.search(text[start:i]) or c == ";" and not ("at least one of" in text[max(start, hard) : i].lower() and _LIST_ITEM.match(text[i + 1 : i + 1 + LOOK_AHEAD])):
-            out.append((start, i + 1))
-            start = hard = i + 1
-    return [*out, (start, len(text))]
+        elif mark == ")":
+            depth -= depth > 0
+        elif depth == 0 and mark == ".":
+            listed_from = at
+        elif depth == 0:
+            if mark == ":":
+                parts = _COLON.search(text, cuts[-1], at)
+            else:
+                parts = not (_LISTING.search(text, listed_from, at) and _LIST_ITEM.match(text[at + 1 : at + 1 + LIST_LOOK_AHEAD]))
+            if parts:
+                cuts.append(at + 1)
+                listed_from = at + 1
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])] + [(cuts[-1], len(text))]
 
 
-_STARTER = re.compile("(?:" + "|".join(s.replace(" ", r"\s+") for s in SEGMENT_STARTERS) + r")\b", re.I)
+_STARTERS = re.compile("|".join(rf"{_spaced(s)}\b" for s in SEGMENT_STARTERS), re.I)
 
 
 def segments(text: str) -> list[dict]:
-    """A claim's segments; offsets are into the text as it came."""
+    """A claim's segments; offsets are into the text as it came, the first is the preamble."""
     out = []
     for start, end in split_claim(text or ""):
-        raw = text[start:end]
-        body = " ".join(raw.strip(" \t\r\n;:").split())
-        body = re.sub(r"^and\s+", "", body, flags=re.I) if out else body
+        body = re.sub(r"^and\s+(?=\w)", "", " ".join((text or "")[start:end].split()), flags=re.I)
         if body:
-            starter = _STARTER.match(body)
-            out.append({"idx": len(out), "start": start, "end": end, "text": body, "starter": starter[0].lower() if starter else None, "kind": "limitation" if out else "preamble"})
+            starter = _STARTERS.match(body)
+            out.append({"idx": len(out), "start": start, "end": end, "text": body, "starter": starter[0].lower() if starter else "", "kind": "limitation" if out else "preamble"})
     return out
 
 
+def _clean(text: str) -> str:
+    return " ".join(text.split()).strip(" ,")
+
+
 def _top_level(text: str, delimiter: str) -> list[str]:
-    depth, start, parts, i = 0, 0, [], 0
-    while i < len(text):
-        depth += (text[i] == "(") - (text[i] == ")")
-        if depth <= 0 and text.startswith(delimiter, i):
-            parts.append(text[start:i])
-            i = start = i + len(delimiter)
-            continue
-        i += 1
-    return [*parts, text[start:]]
+    """Parts between delimiters outside parentheses, trimmed, empty ones dropped."""
+    depth, start, parts = 0, 0, []
+    for m in re.finditer(rf"[()]|{re.escape(delimiter)}", text, re.I):
+        if m[0] == "(":
+            depth += 1
+        elif m[0] == ")":
+            depth -= depth > 0
+        elif depth == 0:
+            parts.append(text[start : m.start()])
+            start = m.end()
+    return [x for x in map(_clean, [*parts, text[start:]]) if x]
 
 
 def enumeration(text: str) -> dict | None:
-    """Head and items of the first listing announced by an enumeration phrase, the longest phrase first."""
-    for phrase in sorted(ENUMERATION_INTROS, key=len, reverse=True):
-        if m := re.search(r"\b" + phrase.replace(" ", r"\s+") + r"\b", text, re.I):
-            for delimiter in (" or ", ", ", "; ", " and "):
-                items = [re.sub(r"^(?:and|or)\s+", "", x.strip(" ,;."), flags=re.I) for x in _top_level(text[m.end() :], delimiter)]
-                items = [x for x in items if x]
-                if len(items) >= 2:
-                    return {"head": text[: m.end()].strip(), "items": items}
-            return None
-    return None
+    """Head and items of the listing announced by an enumeration phrase, the longest phrase first; two items at least."""
+    flat = " ".join((text or "").split())
+    found = [m for phrase in sorted(ENUMERATION_INTROS, key=len, reverse=True) if (m := re.search(rf"\b{phrase}\b", flat, re.I))]
+    if not found:
+        return None
+    head, tail = _clean(flat[: found[0].end()]), _clean(flat[found[0].end() :])
+    for written, meant in ((", and ", " and "), (", or ", " or "), (" and/or ", " or ")):
+        tail = tail.replace(written, meant)
+    items = next((x for d in (" or ", ", ", "; ", " and ") if len(x := _top_level(tail, d)) > 1), [])
+    items = [re.sub(r"^(?:and|or)\s+", "", x, flags=re.I).strip(" ,") for x in items]
+    return {"head": head, "items": items} if items else None
+
+
+def core_and_alternatives(text: str) -> tuple[str, list[str]]:
+    """What stands before a top-level "or", and the alternatives behind it; a listing has none."""
+    parts = _top_level(text, " or ")
+    if len(parts) < 2 or enumeration(text):
+        return " ".join(text.split()), []
+    return parts[0], parts[1:]
+
+
+def main_requirement(text: str, parts: list[dict]) -> str:
+    """A segment without the spans of its leaves."""
+    at, out = 0, []
+    for x in sorted(parts, key=lambda x: x["start"]):
+        out.append(text[at : x["start"]])
+        at = x["end"]
+    return " ".join("".join([*out, text[at:]]).replace(" ,", ",").replace(" ;", ";").split())
 
 
 def leaves(text: str) -> list[dict]:
@@ -167,7 +210,7 @@ def leaves(text: str) -> list[dict]:
     return sorted(kept + rest, key=lambda x: (x["start"], x["end"]))
 
 
-def _lemma(word: str) -> str:
+def _verb(word: str) -> str:
     """Plain verb of a word in -ing, -s or -ed, by rule."""
     w = word.lower()
     for end, put in (("ing", ""), ("ing", "e"), ("es", ""), ("s", ""), ("ed", ""), ("ed", "e")):
@@ -181,33 +224,58 @@ def _lemma(word: str) -> str:
     return stem + "e" if re.search(r"[aeiou][^aeiouwxy]$", stem) and not re.search(r"[aeiou]{2}[^aeiou]$|[^aeiou]e[nrl]$|it$", stem) else stem
 
 
+def is_verb(word: str) -> bool:
+    """Whether a word is a form of one of the claim verbs."""
+    return _verb(word) in CLAIM_VERBS
+
+
 def action_frame(text: str) -> dict:
     """Leading verb, its object, alternatives and leaves of a segment, by rules."""
-    core = text if enumeration(text) else _top_level(text, " or ")[0]
-    alternatives = [] if enumeration(text) else [x.strip() for x in _top_level(text, " or ")[1:]]
+    core, alternatives = core_and_alternatives(text)
     words = re.findall(r"[\w'-]+", re.sub(r"^(?:and|or|wherein|whereby)\s+", "", core, flags=re.I))
-    verbs = [i for i, w in enumerate(words) if _lemma(w) in CLAIM_VERBS or w.lower().endswith("ing")]
-    anchor = _lemma(words[verbs[0]]) if verbs else "(no-verb)"
+    verbs = [i for i, w in enumerate(words) if is_verb(w) or w.lower().endswith("ing")]
+    anchor = _verb(words[verbs[0]]) if verbs else "(no-verb)"
     after = words[verbs[0] + 1 :] if verbs else words
     obj: list[str] = []
     for w in after:
         if w.lower() in ("of", "in", "on", "with", "for", "from", "to", "by", "at", "and", "or", "when", "that", "wherein"):
             break
         obj.append(w)
-    return {"anchor_verb": anchor, "object_np": " ".join(obj) or None, "core_text": core.strip(), "or_alternatives": alternatives, "leaves": leaves(text)}
+    return {"anchor_verb": anchor, "object_np": " ".join(obj) or None, "core_text": core.strip(), "or_alternatives": alternatives, "leaves": (found := leaves(text)), "main_requirement": main_requirement(text, [x for x in found if x["label"] != "remainder"])}
 
 
-def graph(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """Nodes (id, label) and edges (from, to) of a claim: limitation, action, object, leaves, alternatives."""
+def graph(text: str) -> dict:
+    """Nodes (id, segment, kind, label) and edges (source, target) of a claim: limitation, action, object, leaves and their items, alternatives."""
     nodes, edges = [], []
+
+    def add(parent: str | None, segment: int, kind: str, label: str) -> str:
+        name = f"n{len(nodes)}"
+        nodes.append({"id": name, "segment": segment, "kind": kind, "label": label})
+        if parent is not None:
+            edges.append({"source": parent, "target": name})
+        return name
+
     for s in segments(text):
-        root, f = f"L{s['idx']}", action_frame(s["text"])
-        parts = [("action", f["anchor_verb"]), ("object", f["object_np"]), *((x["label"], x["text"]) for x in f["leaves"]), *(("or", x) for x in f["or_alternatives"])]
-        nodes.append((root, s["kind"]))
-        for k, (kind, label) in enumerate((k, v) for k, v in parts if v):
-            nodes.append((f"{root}.{k}", f"{kind}: {label}"))
-            edges.append((root if k == 0 else f"{root}.0", f"{root}.{k}"))
-    return nodes, edges
+        f = action_frame(s["text"])
+        action = add(add(None, s["idx"], s["kind"], s["text"]), s["idx"], "action", f["anchor_verb"])
+        if f["object_np"]:
+            add(action, s["idx"], "object", f["object_np"])
+        for x in f["leaves"]:
+            leaf = add(action, s["idx"], x["label"], x["text"])
+            for item in (enumeration(x["text"]) or {"items": []})["items"] if x["label"] == "enumeration" else []:
+                add(leaf, s["idx"], "item", item)
+        for x in f["or_alternatives"]:
+            add(action, s["idx"], "or", x)
+    return {"nodes": nodes, "edges": edges}
+
+
+def highlights(marks: list[tuple[int, int]]) -> list[bool]:
+    """Which of the spans (start, end) are shown: from the left, the longer first, none that overlaps one before it."""
+    shown, reached = [False] * len(marks), -1
+    for i in sorted(range(len(marks)), key=lambda i: (marks[i][0], -marks[i][1])):
+        if marks[i][0] >= reached:
+            shown[i], reached = True, marks[i][1]
+    return shown
 
 
 #: A noun phrase by rule: a determiner or intro phrase, then words up to a verb, preposition or mark.
@@ -295,12 +363,20 @@ def mentions(text: str) -> list[dict]:
     return out + _bare(text, gap, len(text))
 
 
+class Batcher:
+    """Batch number of each item in order: a batch is closed by size, by time since its first item, or by an item that would exceed the budget, which opens the next."""
+
+    def __init__(self, size: int, budget: float, window: float) -> None:
+        self.size, self.budget, self.window = size, budget, window
+        self.batch, self.count, self.cost, self.opened = -1, 0, 0.0, 0.0
+
+    def take(self, arrival: float, cost: float) -> int:
+        if self.batch < 0 or self.count >= self.size or arrival > self.opened + self.window or self.cost + cost > self.budget:
+            self.batch, self.count, self.cost, self.opened = self.batch + 1, 0, 0.0, arrival
+        self.count, self.cost = self.count + 1, self.cost + cost
+        return self.batch
+
+
 def batches(items: list[tuple[float, float]], size: int, budget: float, window: float) -> list[int]:
-    """Batch number of each (arrival, cost) in order: closed by size, by time since its first item, or by an item that would exceed the budget, which opens the next."""
-    out, batch, count, cost, opened = [], -1, 0, 0.0, 0.0
-    for arrival, own in items:
-        if batch < 0 or count >= size or arrival > opened + window or cost + own > budget:
-            batch, count, cost, opened = batch + 1, 0, 0.0, arrival
-        out.append(batch)
-        count, cost = count + 1, cost + own
-    return out
+    own = Batcher(size, budget, window)
+    return [own.take(*x) for x in items]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clausegrid.functions.constants import ABBREVIATION_END, HIGHLIGHT_STOP_WORDS, SIMILARITY_STOP_WORDS
+from clausegrid.functions.constants import ABBREVIATION_END, DEFAULT_HITS, HIGHLIGHT_STOP_WORDS, MAX_HITS, PAGE_BREAK, SIMILARITY_STOP_WORDS
 
 SENTENCE_BREAK = "\x01"
 
@@ -21,8 +21,10 @@ _NO_BREAK = f"(?i)({_ABBREVIATION}){SENTENCE_BREAK}(?=[A-Za-z0-9,:;]|\\([0-9A-Za
 
 
 def sentences(text: Column, merge: bool = False) -> Column:
-    """Trimmed sentences: text up to a full stop, exclamation or question mark and white space; if merge, not after an abbreviation."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+", f"$1{SENTENCE_BREAK}")
+    """Trimmed sentences: text up to a full stop, exclamation or question mark and white space; if merge, not after an
+    abbreviation. Line breaks and runs of blanks inside are one space."""
+    flat = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\f\x0B]+", " "), r"\s*\n\s*", " ")
+    marked = F.regexp_replace(flat, r"([.!?])\s+", f"$1{SENTENCE_BREAK}")
     if merge:
         marked = F.regexp_replace(marked, _NO_BREAK, "$1 ")
     return F.filter(F.transform(F.split(marked, SENTENCE_BREAK), lambda x: F.trim(x)), lambda x: x != "")
@@ -55,19 +57,32 @@ def digits(text: Column) -> Column:
 
 
 def unwrap(text: Column) -> Column:
-    """Lines of scanned text joined into paragraphs: hyphens at line ends undone, [0001] begins a paragraph."""
-    t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(\w)-\n(\w)", "$1$2")
+    """Lines of scanned text joined into paragraphs: hyphens at line ends undone, [0001] begins a paragraph, page breaks none."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"(?U)(\w)-[ \t]*\n[ \t]*(\w)", "$1$2")
     t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r"\s*(\[\d{3,5}\])", "\n\n$1")
-    blocks = F.transform(F.split(t, r"\n\s*\n+"), lambda b: F.trim(F.regexp_replace(b, r"[ \n]+", " ")))
-    return F.array_join(F.filter(blocks, lambda b: b != ""), "\n\n")
+    t = F.regexp_replace(t, rf"\s*{PAGE_BREAK}\s*", " __PB__ ")
+    t = F.regexp_replace(t, r"\[\s*(\d{3,5})\s*\]", "\n\n[$1] ")
+    blocks = F.filter(F.transform(F.split(t, r"\n\s*\n+"), _strip), lambda b: b != "")
+    blocks = F.transform(blocks, lambda b: _strip(F.regexp_replace(F.replace(F.regexp_replace(b, r"\s*\n\s*", " "), F.lit("__PB__"), F.lit(" ")), r"\s{2,}", " ")))
+    return F.array_join(blocks, "\n\n")
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def limitations(claim: Column) -> Column:
     """Parts of a claim between semicolons (with an optional "and") and colons, without marks at their ends."""
-    parts = F.split(claim, r";\s*(?:and\s+)?|:\s*")
-    return F.filter(F.transform(parts, lambda x: F.btrim(squash(x), F.lit(" ,.;"))), lambda x: x != "")
+    parts = F.split(squash(claim), r"\s*;\s*(?:and\s+)?|\s*:\s*")
+    return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(" ,.;"))), lambda x: x != "")
+
+
+def numbered_claim(claims_text: Column, number: Column) -> Column:
+    """The claim of this number in a text of numbered lines, up to the next number; null if there is none."""
+    pattern = F.concat(F.lit(r"(?s)(?:^|\n)"), number.cast("string"), F.lit(r"\.\s+(.*?)(?=\n"), (number + 1).cast("string"), F.lit(r"\.\s|\z)"))
+    found = F.regexp_extract_all(claims_text, pattern, F.lit(1))
+    return F.when(F.size(found) > 0, F.concat(number.cast("string"), F.lit(". "), _strip(F.get(found, F.lit(0)))))
 
 
 def claim_summary(claim: Column) -> Column:
@@ -107,11 +122,61 @@ def identifier_error(kind: Column, value: Column) -> Column:
 
 
 def format_application(value: Column) -> Column:
-    return F.regexp_replace(digits(value), r"^(\d{2})(\d{3})(\d{3})$", "$1/$2,$3")
+    """NN/NNN,NNN of eight digits, other digits as they are, a dash for none."""
+    n = digits(value)
+    return F.when(F.length(n) == 8, F.regexp_replace(n, r"^(\d{2})(\d{3})(\d{3})$", "$1/$2,$3")).otherwise(F.coalesce(F.nullif(n, F.lit("")), F.lit("—")))
 
 
 def format_patent(value: Column) -> Column:
-    return F.format_number(digits(value).cast("long"), 0)
+    """Digits with thousands parted, a dash for none. More digits than a number holds stay as they are."""
+    n = digits(value)
+    return F.coalesce(F.format_number(n.try_cast("decimal(38,0)"), 0), F.nullif(n, F.lit("")), F.lit("—"))
+
+
+def display_date(value: Column) -> Column:
+    """January 2, 2020 for an ISO date; anything else as it is, null as empty."""
+    return F.coalesce(F.date_format(F.try_to_date(value, "yyyy-MM-dd"), "MMMM d, yyyy"), value, F.lit(""))
+
+
+def highlight_passage(paragraph: Column, sentence: Column) -> Column:
+    """A passage as HTML with the first exact occurrence of a sentence marked."""
+    whole, part = F.coalesce(paragraph, sentence, F.lit("")), F.coalesce(sentence, F.lit(""))
+    at = F.locate(part, whole) if isinstance(part, str) else F.call_function("locate", part, whole)
+    behind = F.substring(whole, at + F.length(part), F.length(whole))
+    marked = F.concat(html_escape(F.substring(whole, F.lit(1), at - 1)), F.lit("<mark>"), html_escape(part), F.lit("</mark>"), html_escape(behind))
+    return F.when((part != "") & (at > 0), marked).otherwise(html_escape(whole))
+
+
+def cache_key(record_id: Column, tool: Column, queries: Column, top_n: Column) -> Column:
+    """record::tool::input; a search's input is its queries and hits asked for."""
+    asked = F.to_json(F.struct(F.coalesce(queries, F.array().cast("array<string>")).alias("queries"), F.coalesce(top_n, F.lit(5)).alias("top_n")))
+    return F.concat_ws("::", F.coalesce(record_id, F.lit("no-record")), tool, F.when(tool == "support", asked).otherwise("record"))
+
+
+def conclusion(changed: Column, added: Column, removed: Column) -> Column:
+    """What a pair of claims comes to: counts other than zero."""
+    parts = F.filter(F.array(*(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"))) for n, word in ((changed, "modified"), (added, "added"), (removed, "removed")))), lambda x: x.isNotNull())
+    blocks = F.when(changed + added + removed == 1, " limitation block").otherwise(" limitation blocks")
+    return F.when(F.size(parts) == 0, "No material limitation-block change").otherwise(F.concat(F.array_join(parts, ", "), blocks))
+
+
+def log_line(event: str, **fields: Column) -> Column:
+    """A structured log line: JSON with sorted keys."""
+    return F.to_json(F.struct(*(c.alias(k) for k, c in sorted({"event": F.lit(event), **fields}.items()))))
+
+
+def coverage_document(limitations_: Column) -> Column:
+    """Limitations of all claims as the paragraphs of one document."""
+    return F.array_join(limitations_, "\n\n")
+
+
+def coverage_hits(claims: Column, most: int = MAX_HITS) -> Column:
+    """How many hits of a concept are asked for, by the number of claims."""
+    return F.least(F.lit(most), F.greatest(F.lit(8), 4 * claims))
+
+
+def hits_asked(top_n: Column) -> Column:
+    return F.coalesce(top_n, F.lit(DEFAULT_HITS))
 
 
 def html_escape(text: Column) -> Column:
@@ -141,3 +206,13 @@ def request_cost(text: Column, queries: Column) -> Column:
 
 def clamp_percent(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(100.0))
+
+
+def bar_percent(rate: Column, full: float = 20.0) -> Column:
+    """Height of a bar as a share of `full` percent, a hundred at most."""
+    return F.least(F.lit(100.0), rate / full * 100)
+
+
+def line_position(at: Column, n: Column, left: float, width: float) -> Column:
+    """Horizontal place of a series' value, evenly spread; the first place for a series of one."""
+    return left + F.coalesce(F.try_divide(at.cast("double"), (n - 1).cast("double")), F.lit(0.0)) * width

@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from clausegrid.functions import sequence
 from clausegrid.functions import text as X
+from clausegrid.functions.constants import CLAIM_HEADING, CLAIM_START, DEPENDENCY, FIRST_CLAIM, MARGIN_NUMBER, PAGE_BREAK, RUNNING_HEADER
 
-PAGE_BREAK = "<<<PAGE_BREAK>>>"
-CLAIM_HEADING = r"(?is)(?:what\s+is\s+claimed\s+(?:is|1s)|claims)\s*:?\s*(?=1\s*[.)])"
+#: A range of dependencies over more numbers isn't expanded: claims have numbers of three digits at most.
+MAX_SPAN = 999
 
 
 def _wrapped(function: Callable, field: str) -> Callable:
@@ -41,7 +42,8 @@ def _struct_udf(function: Callable, schema: str) -> Callable[..., Column]:
 redline = _struct_udf(sequence.redline, "segments array<struct<operation:string,text:string>>, before int, after int, unchanged int, inserted int, deleted int, blocks int")
 align = _struct_udf(_wrapped(lambda a, b: sequence.align(list(a), list(b)), "items"), "items array<struct<kind:string,left_index:int,right_index:int,similarity:double,changed:boolean>>")
 segment = _struct_udf(_wrapped(sequence.segments, "segments"), "segments array<struct<idx:int,start:int,end:int,text:string,starter:string,kind:string>>")
-frame = _struct_udf(sequence.action_frame, "anchor_verb string, object_np string, core_text string, or_alternatives array<string>, leaves array<struct<label:string,start:int,end:int,text:string>>")
+frame = _struct_udf(sequence.action_frame, "anchor_verb string, object_np string, core_text string, or_alternatives array<string>, leaves array<struct<label:string,start:int,end:int,text:string>>, main_requirement string")
+graph = _struct_udf(sequence.graph, "nodes array<struct<id:string,segment:int,kind:string,label:string>>, edges array<struct<source:string,target:string>>")
 find_mentions = _struct_udf(_wrapped(sequence.mentions, "mentions"), "mentions array<struct<kind:string,text:string,key:string,start:int,end:int>>")
 list_items = _struct_udf(lambda x: sequence.enumeration(x) or {"head": None, "items": None}, "head string, items array<string>")
 
@@ -49,7 +51,7 @@ list_items = _struct_udf(lambda x: sequence.enumeration(x) or {"head": None, "it
 def split_specification(docs: DataFrame) -> DataFrame:
     """specification and claims text: at a claims heading, else at the first line numbered 1, else no claims."""
     at = F.regexp_instr("text", F.lit(CLAIM_HEADING))
-    first = F.regexp_instr("text", F.lit(r"(?m)^\s*1\s*[.)]"))
+    first = F.regexp_instr("text", F.lit(FIRST_CLAIM))
     marker = F.regexp_extract("text", CLAIM_HEADING, 0)
     spec = F.when(at > 0, F.substring(F.col("text"), F.lit(1), at - 1)).when(first > 0, F.substring(F.col("text"), F.lit(1), first - 1)).otherwise(F.col("text"))
     claims = F.when(at > 0, F.substring(F.col("text"), at + F.length(marker), F.length("text"))).when(first > 0, F.substring(F.col("text"), first, F.length("text"))).otherwise("")
@@ -59,23 +61,29 @@ def split_specification(docs: DataFrame) -> DataFrame:
 def parse_claims(records: DataFrame) -> DataFrame:
     """record_id, pos, number, text, dependencies, independent of each numbered claim of claims_text."""
     t = F.replace(F.col("claims_text"), F.lit(PAGE_BREAK), F.lit("\n\n"))
-    parts = F.filter(F.split(t, r"(?m)(?=^\s*\d{1,3}\.\s+)"), lambda x: x.rlike(r"^\s*\d{1,3}\.\s"))
+    parts = F.filter(F.split(t, CLAIM_START.replace("(?m)", "(?m)(?=") + ")"), lambda x: x.rlike(r"^\s*\d{1,3}\.\s"))
     rows = records.select("record_id", F.posexplode(parts).alias("pos", "raw"))
-    clean = F.regexp_replace("raw", r"(?mi)^\s*US\s+[\d,]+\s+[A-Z]\d\s*(?:\d+)?\s*$", "")
-    clean = X.squash(F.regexp_replace(clean, r"(?m)^\s*(?:5|10|15|20|25|30|35|40|45|50|55|60|65)\s*$", ""))
+    clean = X.squash(F.regexp_replace(F.regexp_replace("raw", RUNNING_HEADER, ""), MARGIN_NUMBER, ""))
     rows = rows.select("record_id", "pos", F.regexp_extract("raw", r"(\d{1,3})\.", 1).cast("int").alias("number"), clean.alias("text"))
-    return rows.withColumn("dependencies", dependencies(F.col("text"))).withColumn("independent", F.size("dependencies") == 0)
+    rows = rows.withColumns({"dependencies": dependencies(F.col("text")), "error": dependency_error(F.col("text"))})
+    return rows.withColumn("independent", ~F.col("text").rlike(DEPENDENCY))
+
+
+def _spans(text: Column) -> Column:
+    """(least, greatest) of each number or range after "claim(s)"; null for numbers that no integer holds."""
+    numbers = lambda m: F.transform(F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int"))
+    return F.transform(F.regexp_extract_all(text, F.lit(DEPENDENCY), F.lit(0)), lambda m: F.when(F.exists(numbers(m), lambda x: x.isNull()), None).otherwise(F.struct(F.array_min(numbers(m)).alias("a"), F.array_max(numbers(m)).alias("b"))))
 
 
 def dependencies(text: Column) -> Column:
-    """Sorted numbers that "claim n" and "claims n-m" name; one number or range after each."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\bclaims?\s+\d+(?:\s*(?:-|–|to|through)\s*\d+)?"), F.lit(0))
+    """Sorted numbers that "claim n" and "claims n-m" name; one number or range after each. What has an error isn't expanded."""
+    fit = F.filter(_spans(text), lambda s: s.isNotNull() & (s["b"] - s["a"] <= MAX_SPAN))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(fit, lambda s: F.sequence(s["a"], s["b"])))))
 
-    def span(m):
-        numbers = F.transform(F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
-        return F.sequence(F.array_min(numbers), F.array_max(numbers))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, span))))
+def dependency_error(text: Column) -> Column:
+    """Null, or that a claim names a number or a range that no set of claims has."""
+    return F.when(F.exists(_spans(text), lambda s: s.isNull() | (s["b"] - s["a"] > MAX_SPAN)), "dependency out of range")
 
 
 def principal_claims(claims: DataFrame) -> DataFrame:
@@ -114,6 +122,53 @@ def number_issues(issues: DataFrame) -> DataFrame:
     return issues.withColumn("issue_id", F.format_string("I%03d", F.row_number().over(w)))
 
 
+def antecedent(claims: DataFrame) -> DataFrame:
+    """Numbered issues with title, message and confidence of claim sets (set_id, claim_id, claim_number, label, document_number, claim_text)."""
+    found = antecedent_issues(mentions(claims)).join(claims.drop("claim_text"), "claim_id")
+    high = F.col("severity") == "high"
+    quoted = F.concat(F.lit("'"), "text", F.lit("'"))
+    message = F.when(high, F.concat(quoted, F.lit(" does not have a clear earlier introduction in claim "), F.col("claim_number").cast("string"), F.lit("."))).otherwise(
+        F.concat(quoted, F.lit(" is introduced once in claim "), F.col("claim_number").cast("string"), F.lit(" and is not referred to again."))
+    )
+    title = F.when(high, "Missing earlier introduction").otherwise("Introduced but not later referenced")
+    return number_issues(found).withColumns({"title": title, "message": message, "confidence_label": F.lit("Medium")})
+
+
+def issue_summary(issues: DataFrame, claims: DataFrame) -> DataFrame:
+    """high, info, total of each claim, and of each set (claim_id null) with its number of claims; claims without issues have zeros."""
+    counted = claims.select("set_id", "claim_id").join(issues.select("claim_id", "severity"), "claim_id", "left")
+    out = counted.groupingSets([["set_id", "claim_id"], ["set_id"]], "set_id", "claim_id").agg(
+        F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("severity") == "info").alias("info"), F.count("severity").alias("total"), F.countDistinct("claim_id").alias("claim_count"),
+        F.grouping("claim_id").alias("overall"),
+    )
+    return out.withColumn("overall", F.col("overall") == 1)
+
+
+def flagged_claims(summary: DataFrame) -> DataFrame:
+    """Claims with a high issue; position orders a set's by falling number."""
+    w = Window.partitionBy("set_id").orderBy(F.desc("high"), "claim_id")
+    return summary.where("not overall and high > 0").withColumn("position", F.row_number().over(w)).select("set_id", "claim_id", "high", "position")
+
+
+def highlight_marks(mentions: DataFrame, issues: DataFrame) -> DataFrame:
+    """Marks of a claim's mentions with their labels; of those that overlap the first and longest stays, by a fold within the claim's row."""
+    used = Window.partitionBy("claim_id", "key")
+    m = mentions.join(issues.select("claim_id", "seq", "severity"), ["claim_id", "seq"], "left")
+    introduced = F.min(F.when(F.col("kind") != "ref", F.col("seq"))).over(used)
+    m = m.withColumn("referenced", F.coalesce(F.max((F.col("kind") == "ref") & F.col("severity").isNull()).over(used), F.lit(False)) & introduced.isNotNull())
+    label = F.when(F.col("kind") == "ref", F.when(F.col("severity") == "high", "REF w/o INTRO").otherwise("REF ok")).otherwise(F.when(F.col("severity").isNull() & F.col("referenced"), "INTRO used").otherwise("INTRO never ref"))
+    sorted_ = m.withColumn("label", label).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg_end"), "label", "text"))).alias("m"))
+    zero = F.struct(F.lit(-1).alias("reached"), F.array().cast("array<struct<start:int,neg_end:int,label:string,text:string>>").alias("kept"))
+    fold = F.aggregate("m", zero, lambda a, x: F.when(x["start"] >= a["reached"], F.struct((-x["neg_end"]).alias("reached"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a))
+    return sorted_.select("claim_id", F.posexplode(fold["kept"]).alias("mark", "x")).select("claim_id", "mark", "x.start", (-F.col("x.neg_end")).alias("end"), "x.label", "x.text")
+
+
+def claim_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: claim_id, id, segment, kind, label; edges: claim_id, source, target) of claims."""
+    rows = claims.select("claim_id", graph(F.col("claim_text")).alias("g"))
+    return rows.select("claim_id", F.explode("g.nodes").alias("n")).select("claim_id", "n.*"), rows.select("claim_id", F.explode("g.edges").alias("e")).select("claim_id", "e.*")
+
+
 def enumeration_groups(mentions: DataFrame, texts: DataFrame, gap: int = 150) -> DataFrame:
     """Runs of two or more introductions with a connector and at most `gap` characters between: claim_id, island, members."""
     w = Window.partitionBy("claim_id").orderBy("seq")
@@ -150,6 +205,27 @@ def compare_family(claims: DataFrame) -> DataFrame:
     return rows.withColumn("scope_label", scope_label())
 
 
+def overall_summary(compared: DataFrame, claims: DataFrame) -> DataFrame:
+    """A row per family: claims, documents, comparison rows and limitation blocks that are shared, changed, added, removed."""
+    counts = compared.groupBy("family_id").agg(F.count(F.lit(1)).alias("comparison_rows"), *(F.sum(c).alias(f"{c}_limitations") for c in ("shared", "changed", "added", "removed")))
+    size = claims.groupBy("family_id").agg(F.count(F.lit(1)).alias("claim_count"), F.countDistinct("label", "document_number").alias("document_count"))
+    return size.join(counts, "family_id", "left")
+
+
+def difference_summary() -> Column:
+    """A sentence on a pair of compare_family's rows."""
+    return F.format_string("%s. %d limitation block(s) changed, %d added, and %d removed.", "scope_label", "changed", "added", "removed")
+
+
+def all_items(compared: DataFrame) -> DataFrame:
+    """Long form of all shared, added and removed limitations of all pairs of a family, in order: kind, side (0 or 1), text."""
+    i = F.explode("items").alias("i")
+    rows = compared.select("family_id", "position", "left", "right", i)
+    side = F.when(F.col("i.kind") == "added", 1).when(F.col("i.kind") == "removed", 0)
+    text = F.when(F.col("i.kind") == "added", F.get("right", F.col("i.right_index"))).otherwise(F.get("left", F.col("i.left_index")))
+    return rows.select("family_id", "position", "i.kind", side.alias("side"), "i.left_index", "i.right_index", "i.similarity", "i.changed", text.alias("text"))
+
+
 def scope_label() -> Column:
     added, removed, changed = F.col("added") > 0, F.col("removed") > 0, F.col("changed") > 0
     return (

@@ -38,9 +38,10 @@ def query(sql: str | None = None):
 SENT = r"""
 para AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS paragraph_id FROM (SELECT doc_id, [trim(x) for x in string_split(coalesce(text, ''), chr(10)) if trim(x) <> ''] AS ps FROM documents)),
 sent0 AS (SELECT doc_id, paragraph_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sentence_id
-  FROM (SELECT doc_id, paragraph_id, [trim(x) for x in string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) if trim(x) <> ''] AS ss FROM para)),
-sent AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_id, sentence_id) - 1 AS sentence_global_idx FROM sent0)
+  FROM (SELECT doc_id, paragraph_id, [trim(x) for x in string_split(regexp_replace(regexp_replace(p, '[ \t\r\f\v]+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) if trim(x) <> ''] AS ss FROM para)),
 """
+SENT_LAST = "sent AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_id, sentence_id) - 1 AS sentence_global_idx FROM sent0)"
+SENT += SENT_LAST
 LINE = "\n"
 #: Word boundaries of the SQL's patterns know ASCII only.
 ABBREVIATION = ABBREVIATION_END.replace(r"\b", r"(?:^|[^\p{L}\p{N}_])")
@@ -67,7 +68,7 @@ SELECT doc_id, CAST(0 AS BIGINT) AS paragraph_id, CAST(island - 1 AS BIGINT) AS
 """)
 def abbrev_merge(spark, t):
     docs = spark.sql(f"SELECT * FROM {FIG} AS v(doc_id, text)")
-    return R.merge_abbreviations(R.split_sentences(docs))
+    return R.merge_abbreviations(R.split_sentences(docs)).drop("sentence_global_idx")
 
 
 @query(f"""
@@ -88,7 +89,7 @@ def bm25_tokens(spark, t):
 
 @query(f"WITH {SENT}, tk AS (SELECT doc_id, sentence_global_idx, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS term FROM sent) SELECT doc_id, term, count(DISTINCT sentence_global_idx) AS df, count(*) AS cf FROM tk GROUP BY doc_id, term")
 def term_stats(spark, t):
-    return R.postings(R.split_sentences(t("documents"), LINE)).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return R.term_statistics(R.split_sentences(t("documents"), LINE))
 
 
 @query("SELECT item_id, array_to_string(list_sort(list_distinct([w for w in regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') if length(w) >= 3 and not list_contains(['the','a','an','and','or','of','to','in','for','with','on','by','at','from','as','is','are','be','being','been','using','use','used','based'], w)])), ',') AS terms FROM benchmark")
@@ -102,7 +103,7 @@ ASKED = "(VALUES (1, 'the tion and hand with'), (2, 'de la der und que the'))"
 BM25 = f"""
 {SENT},
 tk AS (SELECT doc_id, sentence_global_idx AS sent, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS term FROM sent),
-tf AS (SELECT doc_id, sent, term, count(*) AS tf FROM tk GROUP BY ALL),
+tf AS MATERIALIZED (SELECT doc_id, sent, term, count(*) AS tf FROM tk GROUP BY ALL),
 len AS (SELECT doc_id, sentence_global_idx AS sent, len(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS l FROM sent),
 st AS (SELECT doc_id, count(*) AS n, avg(l) AS avg_len FROM len GROUP BY doc_id),
 idf AS (SELECT doc_id, term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY ALL) JOIN st USING (doc_id)),
@@ -112,34 +113,49 @@ hit AS (SELECT query_id, tf.doc_id, tf.sent, sum(times * CASE WHEN idf < 0 THEN
   FROM tf JOIN q USING (term) JOIN idf USING (doc_id, term) JOIN mean USING (doc_id) JOIN st USING (doc_id) JOIN len ON len.doc_id = tf.doc_id AND len.sent = tf.sent GROUP BY ALL),
 every AS (SELECT DISTINCT query_id, doc_id, sentence_global_idx AS sent FROM sent, (SELECT DISTINCT query_id FROM q)),
 scored AS (SELECT e.query_id, e.doc_id, e.sent, round(coalesce(s, 0), 6) + 0.0 AS score FROM every AS e LEFT JOIN hit USING (query_id, doc_id, sent)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, sent) AS rank FROM scored)
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, sent) AS rank FROM scored)
 """
 
 
-def _bm25(spark, t, asked=None):
-    sentences, asked = R.split_sentences(t("documents"), LINE), asked or spark.sql(f"SELECT * FROM {ASKED} AS v(query_id, text)")
-    scores = R.with_zero_tail(R.bm25(sentences, asked), sentences, asked)
-    return scores.select("query_id", "doc_id", "sent", (F.round("score", 6) + 0.0).alias("score"))
+def _asked(spark):
+    return spark.sql(f"SELECT * FROM {ASKED} AS v(query_id, text)")
+
+
+def _benchmark(t):
+    return t("benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, sent, score, rank FROM ranked WHERE rank <= 5")
 def bm25_topk(spark, t):
-    return R.top_k(_bm25(spark, t), 5, ["query_id", "doc_id"], "sent")
+    return R.bm25_top(t("documents"), _asked(spark), 5, LINE, places=6)
 
 
 @query(f"WITH {BM25.replace(ASKED, '(SELECT item_id, text FROM benchmark WHERE item_id % 100 = 0)')} SELECT query_id, doc_id, sent, score, rank FROM ranked WHERE rank <= 5")
 def bm25_topk_benchmark(spark, t):
-    asked = t("benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
-    return R.top_k(_bm25(spark, t, asked), 5, ["query_id", "doc_id"], "sent")
+    return R.bm25_top(t("documents"), _benchmark(t), 5, LINE, places=6)
+
+
+LETTERS = "[" + ",".join(f"'{c}'" for c in "abcdefghijklmnopqrstuvwxyz0123456789") + "]"
+#: Both lists of each query in each document, of single precision, and their fusion.
+HYBRID = BM25.replace("round(coalesce(s, 0), 6) + 0.0 AS score", "CAST(coalesce(s, 0) AS FLOAT) AS score") + f""",
+counted AS (SELECT doc_id, sentence_global_idx AS sent, [CAST(length(sentence) - length(replace(lower(sentence), c, '')) AS DOUBLE) for c in {LETTERS}] AS c FROM (SELECT doc_id, sentence_global_idx, lower(sentence) AS sentence FROM sent)),
+vec AS MATERIALIZED (SELECT doc_id, sent, [CAST(coalesce(x / nullif(sqrt(list_sum([y * y for y in c])), 0), 0) AS FLOAT) for x in c] AS v FROM counted),
+qcounted AS (SELECT query_id, [CAST(length(text) - length(replace(lower(text), c, '')) AS DOUBLE) for c in {LETTERS}] AS c FROM (SELECT query_id, lower(text) AS text FROM {ASKED} AS v(query_id, text))),
+qvec AS MATERIALIZED (SELECT query_id, [CAST(coalesce(x / nullif(sqrt(list_sum([y * y for y in c])), 0), 0) AS FLOAT) for x in c] AS q FROM qcounted),
+dense AS (SELECT query_id, doc_id, sent, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY CAST(list_dot_product(q::DOUBLE[], v::DOUBLE[]) AS FLOAT) DESC, sent) AS rank FROM vec, qvec),
+a AS (SELECT * FROM ranked WHERE rank <= 200), b AS (SELECT * FROM dense WHERE rank <= 200),
+fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.sent, b.sent) AS sent, a.rank AS rank_a, b.rank AS rank_b,
+    CAST(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS FLOAT) AS score
+  FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.sent = b.sent),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, sent) AS place FROM fused)
+"""
 
 
-@query(f"""WITH {BM25}, a AS (SELECT * FROM ranked WHERE query_id = 1 AND rank <= 200), b AS (SELECT * FROM ranked WHERE query_id = 2 AND rank <= 200)
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.sent, b.sent) AS sent, a.rank AS rank_a, b.rank AS rank_b, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 8) AS score
-FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.sent = b.sent""")
+@query(f"WITH {HYBRID} SELECT query_id, doc_id, sent, rank_a, rank_b, round(score::DOUBLE, 7) AS score FROM placed WHERE place <= 200")
 def rrf_fusion(spark, t):
-    ranked = R.top_k(_bm25(spark, t), 200, ["query_id", "doc_id"], "sent")
-    fused = R.fuse(ranked.where("query_id = 1"), ranked.where("query_id = 2"), ["doc_id", "sent"])
-    return fused.withColumn("score", F.round("score", 8))
+    rows = R.candidates(R.with_queries(R.index(t("documents"), LINE), _asked(spark)), "throughput", R.letter_embedding())
+    found = rows.select("query_id", "doc_id", F.explode("found").alias("f"))
+    return found.select("query_id", "doc_id", "f.sent", "f.rank_a", "f.rank_b", F.round(-F.col("f.neg").cast("double"), 7).alias("score"))
 
 
 DENSE = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id, q.label AS ql, v.label AS vl, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings AS q, embeddings AS v WHERE q.vec_id % 100 = 0)"""
@@ -168,17 +184,27 @@ def retrieval_quality(spark, t):
 @query(f"""WITH {BM25}, best AS (SELECT query_id, doc_id, sent, score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, sent) AS r FROM scored)
 SELECT query_id AS concept_id, doc_id AS claim_id, sent, round(score + 1e-9, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score + 1e-9, 4) DESC, doc_id) AS match_rank FROM best WHERE r = 1""")
 def coverage_best(spark, t):
-    s = _bm25(spark, t)
+    s = R.bm25(t("documents"), _asked(spark), LINE, places=6)
     hits = s.select(F.col("query_id").alias("concept_id"), F.col("sent").alias("hit_pos"), F.concat_ws("/", "doc_id", "sent").alias("paragraph_id"), F.col("sent").alias("sentence"), (F.col("score") + 1e-9).alias("score"))
     claims = s.where("query_id = 1").select(F.concat_ws("/", "doc_id", "sent").alias("paragraph_id"), F.col("doc_id").alias("claim_id"))
     concepts = spark.sql(f"SELECT query_id AS concept_id FROM {ASKED} AS v(query_id, text)")
     return C.coverage(hits, claims, concepts).withColumnRenamed("sentence", "sent")
 
 
-@query()
+MERGED = rf"""
+flag AS (SELECT *, CASE WHEN regexp_matches(coalesce(lag(sentence) OVER w, ''), '(?i){ABBREVIATION}') AND regexp_matches(sentence, '^\s*([A-Za-z0-9,:;]|\([0-9A-Za-z]+\))') THEN 0 ELSE 1 END AS brk FROM sent0 WINDOW w AS (PARTITION BY doc_id, paragraph_id ORDER BY sentence_id)),
+island AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, paragraph_id ORDER BY sentence_id) AS island FROM flag),
+joined AS (SELECT doc_id, paragraph_id, island - 1 AS sentence_id, string_agg(sentence, ' ' ORDER BY sentence_id) AS sentence FROM island GROUP BY doc_id, paragraph_id, island),
+sent AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_id, sentence_id) - 1 AS sentence_global_idx FROM joined)
+"""
+
+
+@query(f"""WITH {HYBRID.replace(ASKED, '(SELECT item_id, text FROM benchmark WHERE item_id % 100 = 0)').replace(SENT_LAST, MERGED)}
+SELECT query_id, placed.doc_id AS doc_id, CAST(paragraph_id AS BIGINT) AS paragraph_id, CAST(sentence_id AS BIGINT) AS sentence_id, placed.sent AS sentence_global_idx, md5(sentence) AS sentence_md5, md5(p) AS paragraph_md5, round(score::DOUBLE, 7) AS score, place AS rank
+FROM placed JOIN sent ON sent.doc_id = placed.doc_id AND sentence_global_idx = placed.sent JOIN para ON para.doc_id = sent.doc_id AND para.paragraph_id = sent.paragraph_id WHERE place <= 8""".replace("(SELECT CAST(paragraph_id", "(SELECT CAST(sent.paragraph_id").replace("CAST(paragraph_id AS BIGINT)", "CAST(sent.paragraph_id AS BIGINT)"))
 def hybrid_search(spark, t):
-    asked = t("benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
-    return R.search(t("documents"), asked, "throughput", top_n=8, separator=LINE)
+    hits = R.search(t("documents"), _benchmark(t), "throughput", top_n=8, embed=R.letter_embedding(), separator=LINE)
+    return hits.withColumns({"sentence_md5": F.md5("sentence"), "paragraph_md5": F.md5("paragraph"), "score": F.round(F.col("score").cast("double"), 7)}).drop("sentence", "paragraph")
 
 
 # --- Pages, records, claims ------------------------------------------------------------------------------------------
@@ -204,7 +230,9 @@ def html_paragraphs(spark, t):
     return t("pages").select("page_id", count(r"(?is)<p[^>]*>").alias("n_paragraphs"), count(r"(?is)<a\s").alias("n_links"))
 
 
-@query(r"""SELECT doc_id, md5(array_to_string([y for y in [trim(regexp_replace(b, '[ \n]+', ' ', 'g')) for b in regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(\w)-\n(\w)', '\1\2', 'g'), '[ \t]+', ' ', 'g'), '\s*(\[\d{3,5}\])', chr(10) || chr(10) || '\1', 'g'), '\n\s*\n+')] if y <> ''], chr(10) || chr(10))) AS text_md5 FROM documents""")
+@query(r"""SELECT doc_id, md5(array_to_string([regexp_replace(regexp_replace(replace(regexp_replace(b, '\s*\n\s*', ' ', 'g'), '__PB__', ' '), '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') for b in
+  [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '([\p{L}\p{N}_])-[ \t]*\n[ \t]*([\p{L}\p{N}_])', '\1\2', 'g'),
+    '[ \t]+', ' ', 'g'), '\s*<<<PAGE_BREAK>>>\s*', ' __PB__ ', 'g'), '\[\s*(\d{3,5})\s*\]', chr(10) || chr(10) || '[\1] ', 'g'), '\n\s*\n+')] if b <> ''], chr(10) || chr(10))) AS text_md5 FROM documents""")
 def ocr_unwrap(spark, t):
     return t("documents").select("doc_id", F.md5(X.unwrap(F.coalesce("text", F.lit("")))).alias("text_md5"))
 
@@ -219,7 +247,7 @@ def digits_only(spark, t):
     return t("customer").select("c_custkey", X.digits(F.col("c_name")).alias("digits"))
 
 
-@query(r"""SELECT doc_id, len(ls) AS n, md5(array_to_string(ls, '|')) AS parts_md5 FROM (SELECT doc_id, [y for y in [trim(trim(regexp_replace(x, '[\s\p{Z}]+', ' ', 'g')), ' ,.;') for x in regexp_split_to_array(coalesce(text, ''), ';\s*(?:and\s+)?|:\s*')] if y <> ''] AS ls FROM documents)""")
+@query(r"""SELECT doc_id, len(ls) AS n, md5(array_to_string(ls, '|')) AS parts_md5 FROM (SELECT doc_id, [y for y in [trim(x, ' ,.;') for x in regexp_split_to_array(trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}]+', ' ', 'g')), '\s*;\s*(?:and\s+)?|\s*:\s*')] if y <> ''] AS ls FROM documents)""")
 def limitations(spark, t):
     ls = X.limitations(F.coalesce("text", F.lit("")))
     return t("documents").select("doc_id", F.size(ls).alias("n"), F.md5(F.array_join(ls, "|")).alias("parts_md5"))
@@ -242,7 +270,7 @@ def _claims(spark):
 
 @query(f"WITH {PARSED} SELECT record_id, number, text, coalesce(deps, '') AS dependencies, deps IS NULL AS independent FROM cl LEFT JOIN dep USING (record_id, number)")
 def claims_parse(spark, t):
-    return _claims(spark).withColumn("dependencies", F.array_join("dependencies", ",")).drop("pos")
+    return _claims(spark).withColumn("dependencies", F.array_join("dependencies", ",")).drop("pos", "error")
 
 
 @query(f"WITH {PARSED} SELECT record_id, number AS src, unnest([CAST(x AS BIGINT) for x in string_split(deps, ',')]) AS dst FROM dep")
@@ -285,7 +313,7 @@ def retry_delay(spark, t):
 
 @query("SELECT conv_id, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS cost FROM conversations GROUP BY conv_id")
 def request_cost(spark, t):
-    return t("conversations").groupBy("conv_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("q")).select("conv_id", X.request_cost(F.lit(""), F.col("q")).alias("cost"))
+    return t("conversations").groupBy("conv_id").agg(F.sum(X.request_cost(F.col("text"), F.array().cast("array<string>"))).alias("cost"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_distinct([x for x in string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') if x <> '' and not list_contains(['a','an','and','are','at','being','by','comprising','each','for','from','having','in','is','method','of','one','or','the','to','wherein','with'], x)]) AS t FROM documents)
@@ -518,7 +546,7 @@ def worker_ratio(spark, t):
 
 @query("SELECT 0::BIGINT AS differing")
 def batched_equals_sequential(spark, t):
-    one = R.postings(R.split_sentences(t("documents"), LINE))
-    split = [R.postings(R.split_sentences(t("documents").where(c), LINE)) for c in ("doc_id % 2 = 0", "doc_id % 2 = 1 OR doc_id IS NULL")]
-    both = split[0].unionByName(split[1])
-    return one.exceptAll(both).unionByName(both.exceptAll(one)).agg(F.count(F.lit(1)).alias("differing"))
+    """Hits of a search for both queries at once, against those of one search for each."""
+    asked, found = _asked(spark), lambda q: R.search(t("documents"), q, "throughput", top_n=3, embed=R.letter_embedding(), separator=LINE).drop("sentence", "paragraph")
+    both, each = found(asked), found(asked.where("query_id = 1")).unionByName(found(asked.where("query_id = 2")))
+    return both.exceptAll(each).unionByName(each.exceptAll(both)).agg(F.count(F.lit(1)).alias("differing"))

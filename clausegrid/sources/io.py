@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -66,24 +67,29 @@ def section_text(records: DataFrame, record_id: str, section: str) -> DataFrame:
 
 
 class _PageFields(HTMLParser):
-    """Values by itemprop, and claims by element id, of a patent page."""
+    """Values by itemprop, claims by element id, and paragraphs of the description, of a patent page."""
 
     def __init__(self) -> None:
         super().__init__()
         self.fields: dict[str, list[str]] = {}
         self.claims: list[str] = []
-        self.open: list[tuple[str, str | None, bool]] = []
+        self.paragraphs: list[tuple[str, str]] = []
+        self.open: list[tuple[str, str | None, bool, bool]] = []
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         prop = a.get("itemprop")
         if prop:
             self.fields.setdefault(prop, []).append(a.get("datetime") or a.get("content") or a.get("href") or "")
-        claim = (a.get("id") or "").startswith("CLM-") or "claim" == a.get("class")
+        classes = (a.get("class") or "").split()
+        claim = tag == "div" and "claim" in classes and (a.get("id") or "").startswith("CLM-")
+        paragraph = "description-paragraph" in classes
         if claim:
             self.claims.append("")
+        if paragraph:
+            self.paragraphs.append(("".join(c for c in a.get("num") or "" if c.isdigit()), ""))
         if tag not in ("meta", "link", "br", "img", "hr", "input"):
-            self.open.append((tag, prop, claim))
+            self.open.append((tag, prop, claim, paragraph))
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
@@ -92,11 +98,13 @@ class _PageFields(HTMLParser):
                 return
 
     def handle_data(self, data):
-        for _, prop, claim in self.open:
+        for _, prop, claim, paragraph in self.open:
             if prop and not self.fields[prop][-1].strip():
                 self.fields[prop][-1] = data
             if claim:
-                self.claims[-1] += data
+                self.claims[-1] += f" {data}"
+            if paragraph:
+                self.paragraphs[-1] = self.paragraphs[-1][0], f"{self.paragraphs[-1][1]} {data}"
 
 
 def parse_page(html: str) -> dict:
@@ -104,17 +112,31 @@ def parse_page(html: str) -> dict:
     p.feed(html or "")
     first = lambda k: " ".join((p.fields.get(k) or [""])[0].split())
     claims = [" ".join(c.split()) for c in p.claims if c.strip()]
-    kind = first("kindCode")
-    error = None if first("publicationNumber") and claims else "identifiers or claims missing"
+    paragraphs = [f"[{n.zfill(4)}] {t}" if n else t for n, t in ((n, " ".join(t.split())) for n, t in p.paragraphs) if t]
+    kind, abstract = first("kindCode"), first("abstract") or first("content")
+    patent = "".join(c for c in first("numberWithoutCodes") or first("publicationNumber") if c.isdigit())
+    application = "".join(c for c in first("applicationNumber") if c.isdigit())
+    numbered = [c for c in claims if re.match(r"\d{1,3}\.\s", c)]
+    error = (
+        "record identifiers missing" if not patent or not application else "description missing" if not paragraphs else "claims missing" if not claims
+        else "claims not in sequence" if len(numbered) != len(claims) else None
+    )
     status = "Granted" if kind.startswith("B") else "Published"
+    if first("publicationDate"):
+        status = f"{status} · {first('publicationDate')}"
+    parts = [f"Abstract\n\n{abstract}"] if abstract else []
     return {
-        "publication_number": first("publicationNumber"), "application_number": first("applicationNumber"), "title": first("title"), "abstract": first("abstract"), "kind": kind,
-        "filing_date": first("filingDate"), "publication_date": first("publicationDate"), "status": f"{status} · {first('publicationDate')}",
-        "inventors": [" ".join(x.split()) for x in p.fields.get("inventor", [])], "assignee": first("assigneeCurrent"), "claims": claims, "error": error,
+        "publication_number": first("publicationNumber"), "patent_number": patent, "application_number": application, "title": first("title"), "abstract": abstract, "kind": kind,
+        "filing_date": first("filingDate"), "publication_date": first("publicationDate"), "grant_date": first("publicationDate") if kind.startswith("B") else "", "status": status,
+        "specification_text": "\n\n".join([*parts, "Detailed description\n\n" + "\n\n".join(paragraphs)]), "pdf_url": first("pdfLink"),
+        "inventors": [y for y in (" ".join(x.split()) for x in p.fields.get("inventor", [])) if y], "assignee": first("assigneeCurrent"), "claims": claims, "error": error,
     }
 
 
-_PAGE = "publication_number string, application_number string, title string, abstract string, kind string, filing_date string, publication_date string, status string, inventors array<string>, assignee string, claims array<string>, error string"
+_PAGE = (
+    "publication_number string, patent_number string, application_number string, title string, abstract string, kind string, filing_date string, publication_date string, grant_date string, status string,"
+    " specification_text string, pdf_url string, inventors array<string>, assignee string, claims array<string>, error string"
+)
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -124,7 +146,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     def parse(html: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_page(x) for x in html], columns=[f.split()[0] for f in _PAGE.split(", ")])
 
-    return pages.select("path", parse("html").alias("r")).select("path", "r.*").withColumn("patent_number", X.digits(F.col("publication_number")))
+    return pages.select("path", parse("html").alias("r")).select("path", "r.*")
 
 
 def find_key(json: Column, *keys: str) -> Column:
