@@ -31,7 +31,7 @@ HOLDS = 0.7
 
 #: Fixed values of HTML: elements without content, those that begin a block, and those never part of a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("aside button canvas datalist dialog footer form head iframe input menu nav noframes noscript object script select style svg template textarea title".split())
 #: Elements around the text itself, of whatever class.
 WHOLE = frozenset("html body main article".split())
@@ -40,7 +40,7 @@ CONTAINER = frozenset("article body div main section td".split())
 HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 OUTER_HINTS = frozenset("header masthead topbar contentinfo complementary".split())
 #: An open <p> ends where one of these begins; these end their like.
-_ENDS_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+_ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _ENDS_LIKE = frozenset("li dt dd tr td th option p".split())
 _SCOPE = frozenset("ul ol dl table article section div main body".split())
 
@@ -95,6 +95,8 @@ class Lines(HTMLParser):
             self._end_open("p")
         if tag in _ENDS_LIKE:
             self._end_open(tag)
+        if tag == "br":
+            self.text.append(" ")  # a line break is white space inside its block
         if tag in VOID:
             return
         around = self.stack[-1]

@@ -160,7 +160,9 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(label_col).cast("string").alias("label"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # The order by hash and id makes the sample the same on every run; the driver gets counts of at most `sample` ids' texts.
     chosen = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(sample)
-    sampled = rows.join(F.broadcast(chosen), "doc_id").select("label", F.xxhash64("h", "text").alias("order"), "text")
+    # Of an id with several texts the first by a hash is taken.
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("label", F.xxhash64("h", "text").alias("order"), "text"), F.xxhash64("text", "label")).alias("r"))
+    sampled = one.select("r.*")
     taken = sampled.mapInArrow(_sparse, "label string, order long, at array<short>, share array<float>").toArrow().combine_chunks()
     labels = taken.column("label").to_pylist()
     order = sorted(range(len(labels)), key=lambda i, o=taken.column("order").to_pylist(): (o[i], labels[i]))[:sample]
@@ -201,7 +203,8 @@ def drop_unknown(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
 
 def held_out(key: Column) -> Column:
-    return bucket_of(key, 3) == 1
+    """The fold that isn't learned from; a null id isn't in it."""
+    return F.coalesce(bucket_of(key, 3) == 1, F.lit(False))
 
 
 def op6_language_id(spark, sf_dir):

@@ -6,11 +6,12 @@ with it finds every entry within one edit, so misspelled terms are caught. Aroun
 is read: inside quotation marks, or after a word of reporting, it counts as quoted. A document's score is a logistic
 function of its finds' weights, exact, misspelled and quoted ones apart, fitted on the labelled sample.
 
-At most SAMPLE labelled documents are taken, those first by a hash of their ids, whole texts; only term counts and
-finds of the lexicon reach the driver, at most LEXICON entries.
+At most SAMPLE labelled documents are taken, those first by a hash of their ids, whole texts; of an id with several
+texts the one that is first by a hash. Only terms that pass every test of an entry, and the sample's finds of the
+lexicon, reach the driver: what the sample's texts hold bounds them, and none is cut.
 
 Defined cases: null texts count as empty and get the score of no find; null labels aren't learned; an id labelled
-twice is toxic if any row says so; without toxic (or without clean) labels every score is the share of toxic ones;
+twice is toxic if any row says so; a null id is held out of nothing and learned from by nobody; without toxic (or without clean) labels every score is the share of toxic ones;
 repeated document rows give a row each; texts of any length are whole; other columns are not read.
 """
 
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from clausegrid.llm.common import bucket_of, materialize, text_slices
 
 SAMPLE = 12_000
-LEXICON = 2_000
 #: Beginnings of words that may be entries, by length; least length of a word that may be one.
 STEMS = range(4, 9)
 LEAST_WORD = 4
@@ -170,13 +170,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def choose_entries(rows: list[tuple[str, int, int, int]], toxic: int, clean: int, candidates: int, limit: int = LEXICON) -> list[tuple[str, bool]]:
+def least_words(toxic: int, clean: int, candidates: int) -> float:
+    """So many words of toxic documents, and none of clean ones, are unlikely by chance for any of the candidates."""
+    return math.log(max(10, candidates)) / -math.log(toxic / (toxic + clean))
+
+
+def choose_entries(rows: list[tuple[str, int, int, int]], toxic: int, clean: int, candidates: int) -> list[tuple[str, bool]]:
     """Entries from (term, toxic documents, clean documents, different words of them in toxic documents)."""
     if not toxic or not clean:
         return []
-    share = toxic / (toxic + clean)
-    # So many words of toxic documents, and none of clean ones, are unlikely by chance for any of the candidates.
-    least = math.log(max(10, candidates)) / -math.log(share)
+    least = least_words(toxic, clean, candidates)
     good = {t: (p, n) for t, p, n, words in rows if p >= max(LEAST_COUNT, LEAST_SHARE * toxic) and p >= PURITY * (p + n) and words >= least + 3 * n}
     chosen = []
     for t, (p, n) in good.items():
@@ -193,7 +196,7 @@ def choose_entries(rows: list[tuple[str, int, int, int]], toxic: int, clean: int
         longer = any(o.startswith(stem) and o != t and len(o.rstrip("*")) >= len(stem) and counts[o] >= 0.98 * p for o in out)
         if not longer:
             out.append(t)
-    return [(t.rstrip("*"), t[-1] == "*") for t in out[:limit]]
+    return [(t.rstrip("*"), t[-1] == "*") for t in out]
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     # Copies would make any of their words seem telling; one row per text and label remains.
     rows = materialize(rows.groupBy("text", "toxic").agg(F.lit(1).alias("one")).select("text", "toxic"), "toxicity-sample")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -220,8 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     # Each task sends a term once per slice; only terms that are pure and frequent come to the driver.
     counted = materialize(rows.mapInArrow(_count_terms, "term string, p long, n long, words long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("words").alias("words")), "toxicity-terms")
     candidates = counted.where(F.col("p") + F.col("n") >= LEAST_COUNT).count()
-    good = counted.where((F.col("p") >= LEAST_COUNT) & (F.col("p") >= PURITY * (F.col("p") + F.col("n")))).orderBy(F.desc("p"), F.length("term"), "term").limit(20 * LEXICON)
-    lexicon = Lexicon(choose_entries([tuple(r) for r in good.collect()], toxic, clean, candidates))
+    lexicon = Lexicon([])
+    if toxic and clean:
+        fit_ = (F.col("p") >= max(LEAST_COUNT, LEAST_SHARE * toxic)) & (F.col("p") >= PURITY * (F.col("p") + F.col("n"))) & (F.col("words") >= least_words(toxic, clean, candidates) + 3 * F.col("n"))
+        lexicon = Lexicon(choose_entries([tuple(r) for r in counted.where(fit_).collect()], toxic, clean, candidates))
 
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -271,7 +277,7 @@ def calibrate(lexicon: Lexicon, found: list[tuple[int, list[tuple[int, int, bool
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, n_finds."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # entries of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -293,4 +299,4 @@ def op4_toxicity(spark, sf_dir):
 
     docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(bucket_of(F.col("doc_id"), 4) != 2))
-    return score(docs, model).withColumn("held_out", bucket_of(F.col("doc_id"), 4) == 2)
+    return score(docs, model).withColumn("held_out", F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False)))

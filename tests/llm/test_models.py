@@ -136,3 +136,70 @@ def test_pages_on_odd_markup(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
     assert got[1] == "T & U\nOne twox\nOk." and got[2] == got[3] == "" and got[4].startswith("cut")
+
+
+def test_finds_are_those_of_an_edit_distance_table():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = np.random.default_rng(6)
+    make = lambda n: "".join(rng.choice(list("abc"), n))
+    entries = sorted({(make(rng.integers(4, 8)), bool(rng.integers(0, 2))) for _ in range(30)})
+    lex = toxicity.Lexicon(entries)
+    for _ in range(800):
+        word, want = make(rng.integers(1, 10)), {}
+        for i, (e, stem) in enumerate(entries):
+            ways = [word[:k] for k in range(len(word) + 1)] if stem else [word]
+            best = min(distance(w, e) for w in ways)
+            if best == 0 or best == 1 and len(e) >= toxicity.LEAST_FUZZY and len(word) >= toxicity.LEAST_FUZZY:
+                want[i] = best
+        if 0 in want.values():
+            want = {i: b for i, b in want.items() if not b}
+        assert dict(lex.find(word)) == want, word
+
+
+def test_smoothing_and_clusters_against_plain_sums():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 40):
+        x = rng.uniform(0, 100, n)
+        w = lambda d: math.exp(-(d**2) / 2)
+        want = [sum(w(i - j) * x[j] for j in range(n) if abs(i - j) <= 2) / sum(w(i - j) for j in range(n) if abs(i - j) <= 2) for i in range(n)]
+        assert np.allclose(html_extract.smoothed(x), want)
+        up = html_extract.upper_cluster(x)
+        if n > 1:
+            middle = (x[up].mean() + x[~up].mean()) / 2
+            assert (x[up] > middle).all() and (x[~up] <= middle).all()
+        else:
+            assert up.all()
+
+
+def test_line_breaks_are_white_space_of_their_block(spark):
+    assert html_extract.main_text("<article><p>One<br>two<br/>\nthree</p><p>Four</p></article>") == "One two three\nFour"
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    long = "<article>" + "<p>A line of words.</p>" * 60_000 + "</article>"
+    assert html_extract.main_text(long).count("\n") == 59_999
+
+
+def test_an_id_with_many_texts_is_learned_from_once(spark):
+    rows = [(i, f"{'scum' if i % 2 else 'nice'} word{i}", i % 2) for i in range(60)] + [(1, f"other text {i}", 1) for i in range(50)] + [(None, "scum", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.where("toxic is not null").select("doc_id", "toxic").distinct())
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and toxicity.score(docs.limit(0), model).count() == 0
+    held = lambda d: d.select(langid.held_out(F.col("doc_id")).alias("h")).collect()
+    assert held(docs.where("doc_id is null"))[0].h is False
+
+
+def test_long_text_language_is_that_of_its_parts(spark):
+    texts = [("the cat and the dog are here ", "en"), ("der hund und die katze sind da ", "de")]
+    docs = spark.createDataFrame([(i, f"{texts[i % 2][0]} {i}", texts[i % 2][1]) for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    long = (texts[1][0] * 50_000).encode()
+    assert len(long) > langid._PART and model.predict(long)[0] == "de"
+    whole = langid.counts(long)
+    assert np.allclose(model.probabilities(long), langid.softmax(((whole @ model.scores) / whole.sum() + model.bias)[None, :] / model.temperature)[0], atol=1e-4)
