@@ -1,4 +1,10 @@
-"""Corpus pipeline: language ID, exact dedup, near-dedup, decontamination, BPE encoding."""
+"""Corpus pipeline: language ID, exact dedup, near-dedup, decontamination, BPE encoding.
+
+Each stage keeps or drops whole rows, by doc_id and the text's digest, so rows that share a doc_id, or have none, stay or
+go each by its own text. Null and empty texts have no language and go in the first stage; of rows that repeat both
+doc_id and text one stays; an empty table gives an empty result; other columns are carried along under their own names,
+whatever these are, up to the last stage.
+"""
 
 from __future__ import annotations
 
