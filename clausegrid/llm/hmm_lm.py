@@ -5,8 +5,8 @@ Tokens are a text's words and one end. A word of at least HEAD of all training t
 of the class's training tokens (add one; the unseen words of a class share one more). STATES latent states emit the
 symbols. Baum-Welch starts from the corpus's symbol shares, spread by a seed, and each round is a pass over all
 training texts, every token of them: each task adds up its expected counts and the cluster sums them by symbol; the
-driver gets one row per symbol. Rounds end when one gains less than GAIN in the mean log10 likelihood of a training
-token (and at ROUNDS). The texts are encoded once, and every round and the scoring read the symbols.
+driver gets one row per symbol. There are ROUNDS of them, fewer only where one gains nothing (GAIN) in the mean log10
+likelihood of a training token. The texts are encoded once, and every round and the scoring read the symbols.
 
 Recursions run over many sequences at once, a token of each in a step. A text of more than WINDOW tokens is cut in
 windows that run side by side: the product of a window's transition and emission matrices takes what is known before
@@ -42,8 +42,8 @@ END = b""
 HEAD = 2e-6
 CLASSES = 1024
 STATES = 8
-#: Rounds of Baum-Welch at most; the gain in log10 likelihood of a token below which they end.
-ROUNDS, GAIN = 13, 0.002
+#: Rounds of Baum-Welch; the gain in log10 likelihood of a token below which they end before.
+ROUNDS, GAIN = 13, 0.0
 #: Chance at the start that a state goes on, and how far the start's emissions are spread around the shares.
 STAY, SPREAD = 0.99, 0.5
 WINDOW = 2048
