@@ -11,7 +11,7 @@ likelihood of a training token. The texts are encoded once, and every round and
 Recursions run over many sequences at once, a token of each in a step. A text of more than WINDOW tokens is cut in
 windows that run side by side: the product of a window's transition and emission matrices takes what is known before
 it to what is known after it, so one walk over a text's windows gives each the exact state before and behind it. Counts
-and likelihoods are those of the whole text, and memory is bounded by BLOCK tokens beside the text's own symbols.
+and likelihoods are those of the whole text, and memory is bounded by BLOCK tokens beside the symbols of HELD or of one text.
 
 Words that have no symbol aren't sent to the tasks: a text's such words are joined with the vocabulary's counts by
 word, and summed by text; AQE splits the rows of a word that many texts have. What is broadcast is bounded by 1 / HEAD
@@ -47,11 +47,14 @@ ROUNDS, GAIN = 13, 0.0
 #: Chance at the start that a state goes on, and how far the start's emissions are spread around the shares.
 STAY, SPREAD = 0.99, 0.5
 WINDOW = 2048
+#: Steps of a recursion from one scaling to the next. Emissions are relative to their symbol's greatest, so a value
+#: shrinks by two steps' odds at most, which single precision holds whatever the size of the corpus.
+EVERY = 2
 #: Tokens' worth of the corpus's own symbol shares that each state's emissions are smoothed with.
 SMOOTHING = 20.0
 SLICE = 6_000_000
-#: Tokens that a recursion works on at a time.
-BLOCK = 800_000
+#: Tokens that a recursion works on at a time, and tokens (4 bytes each) from which those of like length are taken.
+BLOCK, HELD = 800_000, 4_000_000
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 200_000
 
@@ -114,24 +117,41 @@ def _steps(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[in
 
 
 def _batches(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Numbers of the sequences, in runs of at most BLOCK tokens (or one sequence)."""
-    ends = np.cumsum([len(x) for x in sequences])
+    """Numbers of the sequences, the longest first, in runs of at most BLOCK tokens (or one sequence).
+
+    Sequences of like length share their steps.
+    """
+    lengths = np.array([len(x) for x in sequences], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    ends = np.cumsum(lengths[order])
     at = 0
-    while at < len(sequences):
+    while at < len(order):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
-        yield np.arange(at, end)
+        yield order[at:end]
         at = end
 
 
-def _forward(model: Model, sequences: list[np.ndarray], priors: np.ndarray):
+def _relative(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(emissions of each symbol relative to its greatest one, log10 of that)."""
+    most = model.emit.max(axis=1)
+    return model.emit / most[:, None], np.log10(most, dtype=np.float64)
+
+
+def _logs(sequences: list[np.ndarray], scale: np.ndarray) -> np.ndarray:
+    """Sum of the symbols' log10 scales of each sequence."""
+    ends = np.cumsum([len(x) for x in sequences])
+    return np.add.reduceat(scale.take(np.concatenate(sequences)), np.concatenate([[0], ends[:-1]]))
+
+
+def _forward(model: Model, relative: tuple[np.ndarray, np.ndarray], sequences: list[np.ndarray], priors: np.ndarray):
     """Scaled forward recursion from what is known before each sequence (a row of priors).
 
     (log10 likelihoods, order, symbols, cuts, emissions, forward values, rows of the last tokens). Values are scaled
-    to a sum of one at every other step, and the emissions there with them.
+    to a sum of one at every EVERY-th step, and the emissions there with them.
     """
     order, symbols, cuts = _steps(sequences)
     k = len(model.start)
-    seen = model.emit.take(symbols, axis=0)
+    seen = relative[0].take(symbols, axis=0)
     forward, ones = np.empty_like(seen), np.ones((k, k), seen.dtype)
     sums, a = np.empty((len(sequences), k), seen.dtype), None
     logs = np.zeros(len(sequences))
@@ -142,7 +162,7 @@ def _forward(model: Model, sequences: list[np.ndarray], priors: np.ndarray):
         else:
             np.matmul(a[: j - i], model.move, out=now)
             now *= e
-        if t % 2 == 0:
+        if t % EVERY == 0:
             s = np.matmul(now, ones, out=sums[: j - i])
             now /= s
             e /= s
@@ -152,28 +172,33 @@ def _forward(model: Model, sequences: list[np.ndarray], priors: np.ndarray):
     last = np.array(cuts)[lengths - 1] + np.arange(len(order))
     total = np.empty(len(order))
     total[order] = logs + np.log10(forward[last].sum(axis=1, dtype=np.float64))
-    return total, order, symbols, cuts, seen, forward, last
+    return total + _logs(sequences, relative[1]), order, symbols, cuts, seen, forward, last
 
 
-def _matrices(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(what takes the state before each sequence to that of its last token, scaled; log10 of the scale)."""
-    k = len(model.start)
-    out, logs = np.empty((len(sequences), k, k)), np.zeros(len(sequences))
+def _through(move: np.ndarray, relative: tuple[np.ndarray, np.ndarray], sequences: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what each sequence makes of the rows of `first`, states at its first token; log10 of the scale)."""
+    r, k = first.shape
+    out, logs = np.empty((len(sequences), r, k)), np.zeros(len(sequences))
+    ones = np.ones(k, relative[0].dtype)
     for part in _batches(sequences):
-        order, symbols, cuts = _steps([sequences[i] for i in part])
-        a, scale = None, np.zeros(len(part))
-        for i, j in zip(cuts, cuts[1:]):
-            e = model.emit.take(symbols[i:j], axis=0)[:, None, :]
-            if a is None:
-                a = e * np.eye(k, dtype=e.dtype)
+        own = [sequences[i] for i in part]
+        order, symbols, cuts = _steps(own)
+        scale = np.zeros(len(part))
+        # Row, sequence, state: a step's emissions go along the sequences.
+        a, spare = np.empty((r, len(part), k), ones.dtype), np.empty((r, len(part), k), ones.dtype)
+        for t, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            n, e = j - i, relative[0].take(symbols[i:j], axis=0)
+            if t == 0:
+                np.multiply(first[:, None, :], e, out=a)
                 continue
-            now = (a[: j - i].reshape(-1, k) @ model.move).reshape(-1, k, k)
-            now *= e
-            s = now.sum(axis=(1, 2))
-            now /= s[:, None, None]
-            a[: j - i] = now
-            scale[: j - i] += np.log10(s, dtype=np.float64)
-        out[part[order]], logs[part[order]] = a, scale
+            now = np.matmul(a[:, :n], move, out=spare[:, :n])
+            now = np.multiply(now, e, out=a[:, :n])
+            if t % EVERY == 0:
+                s = now.sum(axis=0) @ ones
+                now /= s[:, None]
+                scale[:n] += np.log10(s, dtype=np.float64)
+        out[part[order]], logs[part[order]] = a.transpose(1, 0, 2), scale
+        logs[part] += _logs(own, relative[1])
     return out, logs
 
 
@@ -182,7 +207,7 @@ def _cut(model: Model, texts: list[np.ndarray], window: int, counts: bool = Fals
     most `window` tokens, short texts first, how many these are, the chances of the states before each and weights of
     the states after it, which of them begin a text, and the expected moves from one sequence to the next)."""
     k = len(model.start)
-    total = np.zeros(len(texts))
+    total, relative = np.zeros(len(texts)), _relative(model)
     short = [i for i, x in enumerate(texts) if len(x) <= window]
     long = [i for i, x in enumerate(texts) if len(x) > window]
     sequences = [texts[i] for i in short]
@@ -191,32 +216,40 @@ def _cut(model: Model, texts: list[np.ndarray], window: int, counts: bool = Fals
     if not counts:
         for part in _batches(sequences):
             own = [sequences[i] for i in part]
-            total[np.array(short)[part]] = _forward(model, own, np.tile(model.start, (len(own), 1)))[0]
+            total[np.array(short)[part]] = _forward(model, relative, own, np.tile(model.start, (len(own), 1)))[0]
     parts = [[texts[i][at : at + window] for at in range(0, len(texts[i]), window)] for i in long]
-    through, logs = _matrices(model, [w for p in parts for w in p])
+    # A first window begins with the start and a last one ends with nothing behind it, so vectors do for them.
+    heads, head_logs = _through(model.move, relative, [p[0] for p in parts], model.start[None, :])
+    tails, tail_logs = _through(np.ascontiguousarray(model.move.T), relative, [p[-1][::-1] for p in parts], np.ones((1, k), model.emit.dtype))
+    inner, inner_logs = _through(model.move, relative, [w for p in parts for w in p[1:-1]], np.eye(k, dtype=model.emit.dtype))
     at, move = 0, model.move.astype(np.float64)
-    for i, own in zip(long, parts):
-        m, n = through[at : at + len(own)], len(own)
-        total[i] = logs[at : at + n].sum()
-        at += n
-        before, ends, after, firsts = [model.start.astype(np.float64)], [], [np.ones(k)], []
+    for i, own, head, tail, head_log, tail_log in zip(long, parts, heads[:, 0], tails[:, 0], head_logs, tail_logs):
+        n = len(own)
+        m, middle_log = inner[at : at + n - 2], inner_logs[at : at + n - 2].sum()
+        at += n - 2
+        total[i] = head_log + math.log10(head.sum()) + middle_log + tail_log
+        ends = [head / head.sum()]
+        before = [model.start.astype(np.float64), ends[-1] @ move]
         for x in m:
             a = before[-1] @ x
             total[i] += math.log10(a.sum())
             ends.append(a / a.sum())
             before.append(ends[-1] @ move)
+        total[i] += math.log10(before[-1] @ tail)
         if not counts:
             continue
+        firsts = [tail / tail.sum()]
+        after = [np.ones(k), move @ firsts[-1]]
         for x in m[::-1]:
             w = x @ after[-1]
             firsts.append(w / w.sum())
             after.append(move @ firsts[-1])
-        for a, w in zip(ends, firsts[-2::-1]):
+        for a, w in zip(ends, firsts[::-1]):
             joint = a[:, None] * move * w
             moves += joint / joint.sum()
         sequences += own
-        priors.append(np.array(before[:-1], model.emit.dtype))
-        exits.append(np.array(after[-2::-1], model.emit.dtype))
+        priors.append(np.array(before, model.emit.dtype))
+        exits.append(np.array(after[::-1], model.emit.dtype))
         begins += [True] + [False] * (n - 1)
     return (total, sequences, len(short), np.concatenate(priors), np.concatenate(exits), np.array(begins, bool), moves) if counts else (total,)
 
@@ -229,10 +262,10 @@ def expected_counts(model: Model, texts: list[np.ndarray], window: int = WINDOW)
         return starts, inner, emitted, log
     total, sequences, short, priors, exits, begins, moves = _cut(model, texts, window, counts=True)
     log = float(total.sum())
-    back = np.ascontiguousarray(model.move.T)
+    back, relative = np.ascontiguousarray(model.move.T), _relative(model)
     for part in _batches(sequences):
         own = [sequences[i] for i in part]
-        logs, order, symbols, cuts, seen, forward, last = _forward(model, own, priors[part])
+        logs, order, symbols, cuts, seen, forward, last = _forward(model, relative, own, priors[part])
         log += float(logs[part < short].sum())
         b, held = exits[part][order], np.empty((len(own), k), seen.dtype)
         # With this scale the forward and backward values of a token are its states' chances.
@@ -340,12 +373,12 @@ def _encoded(model: Model, rows: DataFrame) -> DataFrame:
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Texts' symbols in lists of at most BLOCK tokens, or one text."""
+    """Texts' symbols in lists of at most HELD tokens, or one text."""
     held, size = [], 0
     for batch in batches:
         for x in batch.column("symbols").to_pylist():
             x = np.frombuffer(x, np.int32)
-            if held and size + len(x) > BLOCK:
+            if held and size + len(x) > HELD:
                 yield held
                 held, size = [], 0
             held.append(x)
