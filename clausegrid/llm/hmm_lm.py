@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,8 @@ ROUNDS, GAIN = 13, 0.0
 #: Chance at the start that a state goes on, and how far the start's emissions are spread around the shares.
 STAY, SPREAD = 0.99, 0.5
 WINDOW = 2048
-#: Steps of a recursion from one scaling to the next. Emissions are relative to their symbol's greatest, so a value
-#: shrinks by two steps' odds at most, which single precision holds whatever the size of the corpus.
-EVERY = 2
+#: Values that a recursion hasn't scaled yet may shrink to ten to the minus DIGITS; single precision holds 37.
+DIGITS = 24
 #: Tokens' worth of the corpus's own symbol shares that each state's emissions are smoothed with.
 SMOOTHING = 20.0
 SLICE = 6_000_000
@@ -89,15 +89,11 @@ class Model:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """(symbols, the words that have none of their own)."""
-        found = list(map(self.symbols.get, words))
-        if None not in found:
-            return np.array(found, np.int32), []
-        n, rare = len(self.head), []
-        for i, s in enumerate(found):
-            if s is None:
-                rare.append(words[i])
-                found[i] = n + word_class(words[i])
-        return np.array(found, np.int32), rare
+        found = np.fromiter(map(self.symbols.get, words, repeat(-1)), np.int32, len(words))
+        at = np.flatnonzero(found < 0)
+        rare = [words[i] for i in at.tolist()]
+        found[at] = [len(self.head) + word_class(w) for w in rare]
+        return found, rare
 
     def forward(self, texts: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
         """log10 of the likelihood of each sequence of symbols. None is empty."""
@@ -112,8 +108,10 @@ def _steps(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[in
     starts = np.cumsum(lengths) - lengths
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
     cuts = np.concatenate([[0], np.cumsum(alive)])
-    text = np.arange(cuts[-1]) - np.repeat(cuts[:-1], alive)
-    return order, flat[starts[text] + np.repeat(np.arange(len(alive)), alive)], cuts.tolist()
+    kind = np.int32 if cuts[-1] < 1 << 31 else np.int64
+    at = starts.astype(kind).take(np.arange(cuts[-1], dtype=kind) - np.repeat(cuts[:-1].astype(kind), alive))
+    at += np.repeat(np.arange(len(alive), dtype=kind), alive)
+    return order, flat.take(at), cuts.tolist()
 
 
 def _batches(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -131,10 +129,35 @@ def _batches(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
         at = end
 
 
-def _relative(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(emissions of each symbol relative to its greatest one, log10 of that)."""
+def _relative(model: Model) -> tuple[np.ndarray, np.ndarray, int]:
+    """(emissions of each symbol relative to its greatest one, log10 of that, steps from one scaling to the next).
+
+    With these emissions a step leaves at least the least odds of an emission or of a move, whichever is more.
+    """
     most = model.emit.max(axis=1)
-    return model.emit / most[:, None], np.log10(most, dtype=np.float64)
+    seen = model.emit / most[:, None]
+    least = max(float(seen.min()), float(model.move.min()), 1e-30)
+    return seen, np.log10(most, dtype=np.float64), int(min(8, max(1, DIGITS / max(1e-9, -math.log10(least)))))
+
+
+class _Scale:
+    """log10 of products of scales by sequence; the logarithm is taken of several at once."""
+
+    def __init__(self, n: int) -> None:
+        self.logs, self.product, self.held = np.zeros(n), np.ones(n), 0
+
+    def add(self, s: np.ndarray) -> None:
+        self.product[: len(s)] *= s
+        self.held += 1
+        # A scale is at least 1e-30 a step of at most 8, or one step's.
+        if self.held == 6:
+            self.close()
+
+    def close(self) -> np.ndarray:
+        self.logs += np.log10(self.product)
+        self.product[:] = 1.0
+        self.held = 0
+        return self.logs
 
 
 def _logs(sequences: list[np.ndarray], scale: np.ndarray) -> np.ndarray:
@@ -143,18 +166,18 @@ def _logs(sequences: list[np.ndarray], scale: np.ndarray) -> np.ndarray:
     return np.add.reduceat(scale.take(np.concatenate(sequences)), np.concatenate([[0], ends[:-1]]))
 
 
-def _forward(model: Model, relative: tuple[np.ndarray, np.ndarray], sequences: list[np.ndarray], priors: np.ndarray):
+def _forward(model: Model, relative: tuple[np.ndarray, np.ndarray, int], sequences: list[np.ndarray], priors: np.ndarray):
     """Scaled forward recursion from what is known before each sequence (a row of priors).
 
     (log10 likelihoods, order, symbols, cuts, emissions, forward values, rows of the last tokens). Values are scaled
-    to a sum of one at every EVERY-th step, and the emissions there with them.
+    to a sum of one after as many steps as `relative` allows, and the emissions there with them.
     """
     order, symbols, cuts = _steps(sequences)
     k = len(model.start)
     seen = relative[0].take(symbols, axis=0)
     forward, ones = np.empty_like(seen), np.ones((k, k), seen.dtype)
     sums, a = np.empty((len(sequences), k), seen.dtype), None
-    logs = np.zeros(len(sequences))
+    scale, every = _Scale(len(sequences)), relative[2]
     for t, (i, j) in enumerate(zip(cuts, cuts[1:])):
         now, e = forward[i:j], seen[i:j]
         if a is None:
@@ -162,20 +185,20 @@ def _forward(model: Model, relative: tuple[np.ndarray, np.ndarray], sequences: l
         else:
             np.matmul(a[: j - i], model.move, out=now)
             now *= e
-        if t % EVERY == 0:
+        if t % every == 0:
             s = np.matmul(now, ones, out=sums[: j - i])
             now /= s
             e /= s
-            logs[: j - i] += np.log10(s[:, 0], dtype=np.float64)
+            scale.add(s[:, 0])
         a = now
     lengths = np.array([len(sequences[i]) for i in order])
     last = np.array(cuts)[lengths - 1] + np.arange(len(order))
     total = np.empty(len(order))
-    total[order] = logs + np.log10(forward[last].sum(axis=1, dtype=np.float64))
+    total[order] = scale.close() + np.log10(forward[last].sum(axis=1, dtype=np.float64))
     return total + _logs(sequences, relative[1]), order, symbols, cuts, seen, forward, last
 
 
-def _through(move: np.ndarray, relative: tuple[np.ndarray, np.ndarray], sequences: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _through(move: np.ndarray, relative: tuple[np.ndarray, np.ndarray, int], sequences: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(what each sequence makes of the rows of `first`, states at its first token; log10 of the scale)."""
     r, k = first.shape
     out, logs = np.empty((len(sequences), r, k)), np.zeros(len(sequences))
@@ -183,7 +206,7 @@ def _through(move: np.ndarray, relative: tuple[np.ndarray, np.ndarray], sequence
     for part in _batches(sequences):
         own = [sequences[i] for i in part]
         order, symbols, cuts = _steps(own)
-        scale = np.zeros(len(part))
+        scale = _Scale(len(part))
         # Row, sequence, state: a step's emissions go along the sequences.
         a, spare = np.empty((r, len(part), k), ones.dtype), np.empty((r, len(part), k), ones.dtype)
         for t, (i, j) in enumerate(zip(cuts, cuts[1:])):
@@ -193,11 +216,11 @@ def _through(move: np.ndarray, relative: tuple[np.ndarray, np.ndarray], sequence
                 continue
             now = np.matmul(a[:, :n], move, out=spare[:, :n])
             now = np.multiply(now, e, out=a[:, :n])
-            if t % EVERY == 0:
+            if t % relative[2] == 0:
                 s = now.sum(axis=0) @ ones
                 now /= s[:, None]
-                scale[:n] += np.log10(s, dtype=np.float64)
-        out[part[order]], logs[part[order]] = a.transpose(1, 0, 2), scale
+                scale.add(s)
+        out[part[order]], logs[part[order]] = a.transpose(1, 0, 2), scale.close()
         logs[part] += _logs(own, relative[1])
     return out, logs
 
@@ -278,9 +301,11 @@ def expected_counts(model: Model, texts: list[np.ndarray], window: int = WINDOW)
             inner += now[:n].T @ weighted
             np.matmul(weighted, back, out=b[:n])
             now *= b[: j - i]
-        at = symbols.astype(np.int64)
+        at, by_state = symbols.astype(np.int64), np.empty((k, len(symbols)))
+        for i in range(0, len(symbols), 8192):  # turned over within the processor's cache
+            by_state[:, i : i + 8192] = forward[i : i + 8192].T
         for s in range(k):
-            emitted[:, s] += np.bincount(at, weights=forward[:, s], minlength=len(emitted))
+            emitted[:, s] += np.bincount(at, weights=by_state[s], minlength=len(emitted))
         starts += forward[: cuts[1]][begins[part][order]].sum(axis=0, dtype=np.float64)
     return starts, inner * model.move + moves, emitted, log
 
