@@ -55,6 +55,8 @@ SMOOTHING = 20.0
 SLICE = 6_000_000
 #: Tokens that a recursion works on at a time, and tokens (4 bytes each) from which those of like length are taken.
 BLOCK, HELD = 800_000, 4_000_000
+#: Training tokens of a task at least: it hands on up to a row per symbol, which should be less than what it reads.
+TASK = 8_000_000
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 200_000
 
@@ -446,9 +448,9 @@ def train(rows: DataFrame, states: int = STATES, head: float = HEAD, rounds: int
     vocab = materialize(vocabulary(rows.where("not held_out").select("text")), "lm-vocabulary")
     model, shares = _first_model(vocab, states, head)
     encoded = _encoded(model, rows)
-    last = -math.inf
+    last, learned = -math.inf, encoded.where("not held_out").coalesce(1 + model.n // TASK)
     for _ in range(rounds):
-        now = _baum_welch(model, shares, encoded.where("not held_out")) / max(1, model.n)
+        now = _baum_welch(model, shares, learned) / max(1, model.n)
         if now - last < gain:
             break
         last = now
