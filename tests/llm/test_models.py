@@ -69,6 +69,19 @@ def test_expected_counts_are_sums_over_paths_also_of_texts_cut_in_windows():
         assert np.allclose(m.forward(texts, window).sum(), log)
 
 
+def test_single_precision_holds_states_that_hardly_share_symbols():
+    emit = np.array([[1.0, 1e-12], [1e-12, 1.0], [1e-13, 1e-13]])
+    move = np.array([[1 - 1e-11, 1e-11], [1e-11, 1 - 1e-11]])
+    exact = hmm_lm.Model([b""], np.zeros(1), np.zeros(hmm_lm.CLASSES), 1, 1, np.array([0.5, 0.5]), move, emit)
+    single = hmm_lm.Model([b""], np.zeros(1), np.zeros(hmm_lm.CLASSES), 1, 1, *(x.astype(np.float32) for x in (exact.start, move, emit)))
+    rng = np.random.default_rng(6)
+    texts = [np.arange(500, dtype=np.int32) % 2, rng.integers(0, 3, 700).astype(np.int32), np.zeros(3, np.int32)]
+    for window in (64, 1000):
+        assert np.allclose(single.forward(texts, window), exact.forward(texts, window), rtol=1e-4)
+        for a, b in zip(hmm_lm.expected_counts(single, texts, window), hmm_lm.expected_counts(exact, texts, window)):
+            assert np.isfinite(a).all() and np.allclose(a, b, rtol=1e-2, atol=1e-2)
+
+
 def test_scores_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, "A b a", "x"), (2, None, "x"), (3, "zzz a", "x"), (3, "zzz a", "x"), (None, "b", "x")], "doc_id long, text string, uid string")
     rows = {r.doc_id: r for r in hmm_lm.score_documents(docs, F.col("doc_id") == 3, rounds=1).collect()}
