@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from clausegrid.functions import sequence
 from clausegrid.functions import text as X
@@ -15,6 +17,8 @@ from clausegrid.functions.constants import CLAIM_HEADING, CLAIM_START, DEPENDENC
 
 #: A range of dependencies over more numbers isn't expanded: claims have numbers of three digits at most.
 MAX_SPAN = 999
+#: Rows that a Python worker hands on at a time, and characters of the texts that it makes them of.
+MADE_ROWS, MADE_CHARS = 20_000, 2_000_000
 
 
 def _wrapped(function: Callable, field: str) -> Callable:
@@ -44,7 +48,6 @@ align = _struct_udf(_wrapped(lambda a, b: sequence.align(list(a), list(b)), "ite
 segment = _struct_udf(_wrapped(sequence.segments, "segments"), "segments array<struct<idx:int,start:int,end:int,text:string,starter:string,kind:string>>")
 frame = _struct_udf(sequence.action_frame, "anchor_verb string, object_np string, core_text string, or_alternatives array<string>, leaves array<struct<label:string,start:int,end:int,text:string>>, main_requirement string")
 graph = _struct_udf(sequence.graph, "nodes array<struct<id:string,segment:int,kind:string,label:string>>, edges array<struct<source:string,target:string>>")
-find_mentions = _struct_udf(_wrapped(sequence.mentions, "mentions"), "mentions array<struct<kind:string,text:string,key:string,start:int,end:int>>")
 list_items = _struct_udf(lambda x: sequence.enumeration(x) or {"head": None, "items": None}, "head string, items array<string>")
 
 
@@ -92,10 +95,43 @@ def principal_claims(claims: DataFrame) -> DataFrame:
     return claims.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def _made(claims: DataFrame, function: Callable, ddl: str) -> DataFrame:
+    """A row for each tuple that `function` makes of claim_text (null: empty), beside the claim's other columns.
+
+    A worker hands its rows on in bounded batches, so it never holds what it makes of all its texts.
+    """
+    others = [c for c in claims.columns if c != "claim_text"]
+    made = T.StructType.fromDDL(ddl)
+    types = [to_arrow_type(f.dataType) for f in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, texts, at, rows, chars = batch.select(others), batch.column("claim_text"), [], [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*kept.take(pa.array(at, pa.int64())).columns, *(pa.array(v, t) for v, t in zip(zip(*rows), types))], names=[*others, *made.names])
+
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                chars += len(text)
+                for x in function(text):
+                    at.append(i)
+                    rows.append(x)
+                    if len(at) >= MADE_ROWS:
+                        yield out()
+                        at, rows = [], []
+                if at and chars >= MADE_CHARS:
+                    yield out()
+                    at, rows, chars = [], [], 0
+            if at:
+                yield out()
+
+    return claims.select(*others, "claim_text").mapInArrow(run, T.StructType([*(claims.schema[c] for c in others), *made]))
+
+
 def mentions(claims: DataFrame) -> DataFrame:
     """claim_id, seq, kind, text, key, start, end of the claims' noun phrases (columns claim_id, claim_text)."""
-    rows = claims.select("claim_id", find_mentions(F.col("claim_text"))["mentions"].alias("m"))
-    return rows.select("claim_id", F.posexplode("m").alias("seq", "m")).select("claim_id", "seq", "m.*")
+    return _made(claims.select("claim_id", "claim_text"), lambda text: ((i, *m) for i, m in enumerate(sequence.each_mention(text))), "seq int, kind string, text string, key string, start int, end int")
 
 
 def antecedent_issues(mentions: DataFrame) -> DataFrame:
@@ -110,10 +146,16 @@ def antecedent_issues(mentions: DataFrame) -> DataFrame:
     high = (F.col("kind") == "ref") & ~F.col("introduced")
     info = (F.col("kind") == "intro") & (F.col("seq") == F.col("first_intro")) & ~F.col("referenced")
     severity = F.when(high, "high").when(info, "info")
-    return m.withColumn("severity", severity).where("severity is not null").select(
-        "claim_id", "seq", "severity", F.when(F.col("severity") == "high", "missing_antecedent").otherwise("introduced_not_reused").alias("code"), "text", "key",
-        F.when(F.col("severity") == "high", 0.82).otherwise(0.68).alias("confidence"),
-    )
+    found = m.withColumn("severity", severity).where("severity is not null")
+    return found.select("claim_id", "seq", "severity", _code().alias("code"), "text", "key", _confidence().alias("confidence"))
+
+
+def _code() -> Column:
+    return F.when(F.col("severity") == "high", "missing_antecedent").otherwise("introduced_not_reused")
+
+
+def _confidence() -> Column:
+    return F.when(F.col("severity") == "high", 0.82).otherwise(0.68)
 
 
 def number_issues(issues: DataFrame) -> DataFrame:
@@ -123,8 +165,12 @@ def number_issues(issues: DataFrame) -> DataFrame:
 
 
 def antecedent(claims: DataFrame) -> DataFrame:
-    """Numbered issues with title, message and confidence of claim sets (set_id, claim_id, claim_number, label, document_number, claim_text)."""
-    found = antecedent_issues(mentions(claims)).join(claims.drop("claim_text"), "claim_id")
+    """Numbered issues with title, message and confidence of claim sets (set_id, claim_id, claim_number, label, document_number, claim_text).
+
+    A claim's issues follow from its own row, so only they are shuffled, for their numbers.
+    """
+    found = _made(claims, sequence.issues, "seq int, severity string, text string, key string")
+    found = found.select("claim_id", "seq", "severity", _code().alias("code"), "text", "key", _confidence().alias("confidence"), *(c for c in claims.columns if c not in ("claim_id", "claim_text")))
     high = F.col("severity") == "high"
     quoted = F.concat(F.lit("'"), "text", F.lit("'"))
     message = F.when(high, F.concat(quoted, F.lit(" does not have a clear earlier introduction in claim "), F.col("claim_number").cast("string"), F.lit("."))).otherwise(

@@ -110,3 +110,23 @@ def test_json_and_sections(spark, tmp_path):
 def _written(df, tmp_path):
     df.write.parquet(f"{tmp_path}/pairs")
     return f"{tmp_path}/pairs"
+
+
+def _claims(spark):
+    text = "A pump and a valve, a hose. The pump opens the valve and the lid. A rod or a seal; said pump."
+    rows = [(7, 1, text), (8, 1, None), (9, 2, "The lid."), (10, 2, "A wheel.  " * 40), (11, 2, text.upper())]
+    return spark.createDataFrame(rows, "claim_id long, set_id int, claim_text string").selectExpr("*", "1 AS claim_number", "'x' AS label", "'y' AS document_number")
+
+
+def _rows(df):
+    return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+
+def test_issues_of_a_claims_row_in_bounded_batches_as_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(C, "MADE_ROWS", 3)
+    claims = _claims(spark)
+    found = C.antecedent_issues(C.mentions(claims)).join(claims.drop("claim_text"), "claim_id")
+    got = C.antecedent(claims)
+    assert _rows(got.drop("title", "message", "confidence_label")) == _rows(C.number_issues(found)) and got.count() > 3
+    # One shuffle, for the numbers: neither mentions nor texts are.
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
