@@ -225,6 +225,11 @@ def enumeration_groups(mentions: DataFrame, texts: DataFrame, gap: int = 150) ->
     return islands.groupBy("claim_id", "island").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("members")).where("size(members) >= 2")
 
 
+def enumerations(claims: DataFrame) -> DataFrame:
+    """claim_id, island, members (texts) of enumeration_groups, from each claim's own row: neither mentions nor texts are shuffled."""
+    return _made(claims.select("claim_id", "claim_text"), sequence.enumerations, "island long, members array<string>")
+
+
 def family_groups(claims: DataFrame) -> DataFrame:
     """Documents of a family (family_id) in order of first appearance: position, label, document_number, claims by number."""
     g = claims.groupBy("family_id", "label", "document_number").agg(F.min("input_pos").alias("first"), F.array_sort(F.collect_list(F.struct("claim_number", "input_pos", "claim_text"))).alias("claims"))

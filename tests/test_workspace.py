@@ -130,3 +130,13 @@ def test_issues_of_a_claims_row_in_bounded_batches_as_by_windows(spark, monkeypa
     assert _rows(got.drop("title", "message", "confidence_label")) == _rows(C.number_issues(found)) and got.count() > 3
     # One shuffle, for the numbers: neither mentions nor texts are.
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_enumerations_of_a_claims_row_as_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(C, "MADE_ROWS", 1)
+    claims = _claims(spark)
+    by_windows = C.enumeration_groups(C.mentions(claims), claims.selectExpr("claim_id", "claim_text")).select("claim_id", "island", F.transform("members", lambda x: x["text"]).alias("members"))
+    got = C.enumerations(claims)
+    assert _rows(got) == _rows(by_windows) and {r.claim_id for r in got.collect()} == {7, 11}
+    # The registered query shuffles neither mentions nor texts.
+    assert "Exchange" not in catalog.QUERIES["enumeration_islands_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
