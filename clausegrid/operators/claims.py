@@ -209,6 +209,11 @@ def highlight_marks(mentions: DataFrame, issues: DataFrame) -> DataFrame:
     return sorted_.select("claim_id", F.posexplode(fold["kept"]).alias("mark", "x")).select("claim_id", "mark", "x.start", (-F.col("x.neg_end")).alias("end"), "x.label", "x.text")
 
 
+def marks(claims: DataFrame) -> DataFrame:
+    """claim_id, mark, start, end, label, text of highlight_marks, from each claim's own row: nothing is shuffled."""
+    return _made(claims.select("claim_id", "claim_text"), sequence.marks, "mark int, start int, end int, label string, text string")
+
+
 def claim_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: claim_id, id, segment, kind, label; edges: claim_id, source, target) of claims."""
     rows = claims.select("claim_id", graph(F.col("claim_text")).alias("g"))

@@ -270,8 +270,7 @@ def antecedent_documents(spark, t):
 
 @query()
 def highlight_marks(spark, t):
-    m = C.mentions(_sets(t))
-    return C.highlight_marks(m, C.antecedent_issues(m))
+    return C.marks(_sets(t))
 
 
 @query()

@@ -140,3 +140,13 @@ def test_enumerations_of_a_claims_row_as_by_windows(spark, monkeypatch):
     assert _rows(got) == _rows(by_windows) and {r.claim_id for r in got.collect()} == {7, 11}
     # The registered query shuffles neither mentions nor texts.
     assert "Exchange" not in catalog.QUERIES["enumeration_islands_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_of_a_claims_row_as_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(C, "MADE_ROWS", 3)
+    claims = _claims(spark)
+    m = C.mentions(claims)
+    assert _rows(C.marks(claims)) == _rows(C.highlight_marks(m, C.antecedent_issues(m)))
+    # The registered query finds mentions once and shuffles none.
+    plan = catalog.QUERIES["highlight_marks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
