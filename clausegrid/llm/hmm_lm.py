@@ -12,6 +12,7 @@ Recursions run over many sequences at once, a token of each in a step. A text of
 windows that run side by side: the product of a window's transition and emission matrices takes what is known before
 it to what is known after it, so one walk over a text's windows gives each the exact state before and behind it. Counts
 and likelihoods are those of the whole text, and memory is bounded by BLOCK tokens beside the symbols of HELD or of one text.
+A task's recursions write to the same arrays again.
 
 Words that have no symbol aren't sent to the tasks: a text's such words are joined with the vocabulary's counts by
 word, and summed by text; AQE splits the rows of a word that many texts have. What is broadcast is bounded by 1 / HEAD
@@ -34,10 +35,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import bucket_of, materialize, text_bytes, text_slices
+from clausegrid.llm.common import bucket_of, materialize, release, text_slices
 
 END = b""
 HEAD = 2e-6
@@ -59,6 +61,8 @@ BLOCK, HELD = 800_000, 4_000_000
 TASK = 8_000_000
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 200_000
+#: Words' counts of single slices that a task keeps before it adds them up.
+KEPT = 800_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -66,10 +70,26 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts as `tokens` has them, without ends; where each text's begin, and where the last one's end)."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = parts.flatten().cast(pa.binary())
+    bounds = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
+    # Blanks at either end of a text leave an empty word.
+    real = pc.greater(pc.binary_length(words), 0)
+    return words.filter(real), np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[bounds]
+
+
 def word_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
 
+def word_classes(words: pa.Array) -> np.ndarray:
+    """word_class of each."""
+    last = pc.binary_slice(words, -3, 1 << 30).dictionary_encode()
+    return np.fromiter(map(word_class, last.dictionary.to_pylist()), np.int64, len(last.dictionary)).take(last.indices.to_numpy())
+
+
 @dataclass
 class Model:
     #: Words with a symbol of their own, which is their place here, and log10(c + 1) of each; classes follow.
@@ -97,23 +117,42 @@ class Model:
         found[at] = [len(self.head) + word_class(w) for w in rare]
         return found, rare
 
-    def forward(self, texts: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
+    def forward(self, texts: list[np.ndarray], window: int = WINDOW, room: _Room | None = None) -> np.ndarray:
         """log10 of the likelihood of each sequence of symbols. None is empty."""
-        return _cut(self, texts, window)[0]
+        return _cut(self, texts, window, room=room)[0]
+
 
+class _Room:
+    """Arrays of a task that are used again: touching new memory takes longer than what is done with it."""
 
-def _steps(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(order of the sequences, longest first; all symbols, those of each step together; where each step begins)."""
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def empty(self, name: str, shape: tuple[int, ...], kind) -> np.ndarray:
+        """An array of any content, which the next one of its name overwrites."""
+        n = math.prod(shape)
+        a = self.held.get(name)
+        if a is None or len(a) < n or a.dtype != kind:
+            a = self.held[name] = np.empty(n, kind)
+        return a[:n].reshape(shape)
+
+
+def _steps(sequences: list[np.ndarray], room: _Room, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """(order of the sequences, longest first; all symbols, those of each step together; where each step begins; the
+    sum of the symbols' log10 scales of each sequence, in that order). The symbols are in the room."""
     lengths = np.array([len(x) for x in sequences], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    flat, lengths = np.concatenate([sequences[i] for i in order]), lengths[order]
-    starts = np.cumsum(lengths) - lengths
+    lengths = lengths[order]
+    n, starts = int(lengths.sum()), np.cumsum(lengths) - lengths
+    flat = np.concatenate([sequences[i] for i in order], out=room.empty("flat", (n,), np.intp))
+    logs = np.add.reduceat(scale.take(flat, out=room.empty("logs", (n,), scale.dtype), mode="clip"), starts)
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    cuts = np.concatenate([[0], np.cumsum(alive)])
-    kind = np.int32 if cuts[-1] < 1 << 31 else np.int64
-    at = starts.astype(kind).take(np.arange(cuts[-1], dtype=kind) - np.repeat(cuts[:-1].astype(kind), alive))
-    at += np.repeat(np.arange(len(alive), dtype=kind), alive)
-    return order, flat.take(at), cuts.tolist()
+    cuts = np.concatenate([[0], np.cumsum(alive)]).tolist()
+    symbols = room.empty("symbols", (n,), np.intp)
+    for i, j in zip(cuts, cuts[1:]):
+        flat.take(starts[: j - i], out=symbols[i:j], mode="clip")
+        starts += 1
+    return order, symbols, cuts, logs
 
 
 def _batches(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -162,22 +201,17 @@ class _Scale:
         return self.logs
 
 
-def _logs(sequences: list[np.ndarray], scale: np.ndarray) -> np.ndarray:
-    """Sum of the symbols' log10 scales of each sequence."""
-    ends = np.cumsum([len(x) for x in sequences])
-    return np.add.reduceat(scale.take(np.concatenate(sequences)), np.concatenate([[0], ends[:-1]]))
-
-
-def _forward(model: Model, relative: tuple[np.ndarray, np.ndarray, int], sequences: list[np.ndarray], priors: np.ndarray):
+def _forward(model: Model, relative: tuple[np.ndarray, np.ndarray, int], sequences: list[np.ndarray], priors: np.ndarray, room: _Room):
     """Scaled forward recursion from what is known before each sequence (a row of priors).
 
     (log10 likelihoods, order, symbols, cuts, emissions, forward values, rows of the last tokens). Values are scaled
-    to a sum of one after as many steps as `relative` allows, and the emissions there with them.
+    to a sum of one after as many steps as `relative` allows, and the emissions there with them. Symbols, emissions and
+    forward values are in the room.
     """
-    order, symbols, cuts = _steps(sequences)
+    order, symbols, cuts, logs = _steps(sequences, room, relative[1])
     k = len(model.start)
-    seen = relative[0].take(symbols, axis=0)
-    forward, ones = np.empty_like(seen), np.ones((k, k), seen.dtype)
+    seen = relative[0].take(symbols, axis=0, out=room.empty("seen", (len(symbols), k), relative[0].dtype), mode="clip")
+    forward, ones = room.empty("forward", seen.shape, seen.dtype), np.ones((k, k), seen.dtype)
     sums, a = np.empty((len(sequences), k), seen.dtype), None
     scale, every = _Scale(len(sequences)), relative[2]
     for t, (i, j) in enumerate(zip(cuts, cuts[1:])):
@@ -196,21 +230,21 @@ def _forward(model: Model, relative: tuple[np.ndarray, np.ndarray, int], sequenc
     lengths = np.array([len(sequences[i]) for i in order])
     last = np.array(cuts)[lengths - 1] + np.arange(len(order))
     total = np.empty(len(order))
-    total[order] = scale.close() + np.log10(forward[last].sum(axis=1, dtype=np.float64))
-    return total + _logs(sequences, relative[1]), order, symbols, cuts, seen, forward, last
+    total[order] = scale.close() + np.log10(forward[last].sum(axis=1, dtype=np.float64)) + logs
+    return total, order, symbols, cuts, seen, forward, last
 
 
-def _through(move: np.ndarray, relative: tuple[np.ndarray, np.ndarray, int], sequences: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _through(move: np.ndarray, relative: tuple[np.ndarray, np.ndarray, int], sequences: list[np.ndarray], first: np.ndarray, room: _Room) -> tuple[np.ndarray, np.ndarray]:
     """(what each sequence makes of the rows of `first`, states at its first token; log10 of the scale)."""
     r, k = first.shape
     out, logs = np.empty((len(sequences), r, k)), np.zeros(len(sequences))
     ones = np.ones(k, relative[0].dtype)
     for part in _batches(sequences):
         own = [sequences[i] for i in part]
-        order, symbols, cuts = _steps(own)
+        order, symbols, cuts, own_logs = _steps(own, room, relative[1])
         scale = _Scale(len(part))
         # Row, sequence, state: a step's emissions go along the sequences.
-        a, spare = np.empty((r, len(part), k), ones.dtype), np.empty((r, len(part), k), ones.dtype)
+        a, spare = room.empty("a", (r, len(part), k), ones.dtype), room.empty("spare", (r, len(part), k), ones.dtype)
         for t, (i, j) in enumerate(zip(cuts, cuts[1:])):
             n, e = j - i, relative[0].take(symbols[i:j], axis=0)
             if t == 0:
@@ -222,17 +256,16 @@ def _through(move: np.ndarray, relative: tuple[np.ndarray, np.ndarray, int], seq
                 s = now.sum(axis=0) @ ones
                 now /= s[:, None]
                 scale.add(s)
-        out[part[order]], logs[part[order]] = a.transpose(1, 0, 2), scale.close()
-        logs[part] += _logs(own, relative[1])
+        out[part[order]], logs[part[order]] = a.transpose(1, 0, 2), scale.close() + own_logs
     return out, logs
 
 
-def _cut(model: Model, texts: list[np.ndarray], window: int, counts: bool = False):
+def _cut(model: Model, texts: list[np.ndarray], window: int, counts: bool = False, room: _Room | None = None):
     """(log10 likelihood of each text; or, if counts are asked for, that of the long texts alone, the sequences of at
     most `window` tokens, short texts first, how many these are, the chances of the states before each and weights of
     the states after it, which of them begin a text, and the expected moves from one sequence to the next)."""
     k = len(model.start)
-    total, relative = np.zeros(len(texts)), _relative(model)
+    total, relative, room = np.zeros(len(texts)), _relative(model), room or _Room()
     short = [i for i, x in enumerate(texts) if len(x) <= window]
     long = [i for i, x in enumerate(texts) if len(x) > window]
     sequences = [texts[i] for i in short]
@@ -241,12 +274,12 @@ def _cut(model: Model, texts: list[np.ndarray], window: int, counts: bool = Fals
     if not counts:
         for part in _batches(sequences):
             own = [sequences[i] for i in part]
-            total[np.array(short)[part]] = _forward(model, relative, own, np.tile(model.start, (len(own), 1)))[0]
+            total[np.array(short)[part]] = _forward(model, relative, own, np.tile(model.start, (len(own), 1)), room)[0]
     parts = [[texts[i][at : at + window] for at in range(0, len(texts[i]), window)] for i in long]
     # A first window begins with the start and a last one ends with nothing behind it, so vectors do for them.
-    heads, head_logs = _through(model.move, relative, [p[0] for p in parts], model.start[None, :])
-    tails, tail_logs = _through(np.ascontiguousarray(model.move.T), relative, [p[-1][::-1] for p in parts], np.ones((1, k), model.emit.dtype))
-    inner, inner_logs = _through(model.move, relative, [w for p in parts for w in p[1:-1]], np.eye(k, dtype=model.emit.dtype))
+    heads, head_logs = _through(model.move, relative, [p[0] for p in parts], model.start[None, :], room)
+    tails, tail_logs = _through(np.ascontiguousarray(model.move.T), relative, [p[-1][::-1] for p in parts], np.ones((1, k), model.emit.dtype), room)
+    inner, inner_logs = _through(model.move, relative, [w for p in parts for w in p[1:-1]], np.eye(k, dtype=model.emit.dtype), room)
     at, move = 0, model.move.astype(np.float64)
     for i, own, head, tail, head_log, tail_log in zip(long, parts, heads[:, 0], tails[:, 0], head_logs, tail_logs):
         n = len(own)
@@ -279,18 +312,19 @@ def _cut(model: Model, texts: list[np.ndarray], window: int, counts: bool = Fals
     return (total, sequences, len(short), np.concatenate(priors), np.concatenate(exits), np.array(begins, bool), moves) if counts else (total,)
 
 
-def expected_counts(model: Model, texts: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(model: Model, texts: list[np.ndarray], window: int = WINDOW, room: _Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch: expected (starts by state, moves from and to a state, emissions by symbol and state), and the log10 likelihood."""
     k = len(model.start)
     starts, inner, emitted, log = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k)), 0.0
     if not texts:
         return starts, inner, emitted, log
-    total, sequences, short, priors, exits, begins, moves = _cut(model, texts, window, counts=True)
+    room = room or _Room()
+    total, sequences, short, priors, exits, begins, moves = _cut(model, texts, window, True, room)
     log = float(total.sum())
     back, relative = np.ascontiguousarray(model.move.T), _relative(model)
     for part in _batches(sequences):
         own = [sequences[i] for i in part]
-        logs, order, symbols, cuts, seen, forward, last = _forward(model, relative, own, priors[part])
+        logs, order, symbols, cuts, seen, forward, last = _forward(model, relative, own, priors[part], room)
         log += float(logs[part < short].sum())
         b, held = exits[part][order], np.empty((len(own), k), seen.dtype)
         # With this scale the forward and backward values of a token are its states' chances.
@@ -303,11 +337,11 @@ def expected_counts(model: Model, texts: list[np.ndarray], window: int = WINDOW)
             inner += now[:n].T @ weighted
             np.matmul(weighted, back, out=b[:n])
             now *= b[: j - i]
-        at, by_state = symbols.astype(np.int64), np.empty((k, len(symbols)))
+        by_state = room.empty("by state", (k, len(symbols)), np.float64)
         for i in range(0, len(symbols), 8192):  # turned over within the processor's cache
             by_state[:, i : i + 8192] = forward[i : i + 8192].T
         for s in range(k):
-            emitted[:, s] += np.bincount(at, weights=by_state[s], minlength=len(emitted))
+            emitted[:, s] += np.bincount(symbols, weights=by_state[s], minlength=len(emitted))
         starts += forward[: cuts[1]][begins[part][order]].sum(axis=0, dtype=np.float64)
     return starts, inner * model.move + moves, emitted, log
 
@@ -322,18 +356,26 @@ def maximise(model: Model, starts: np.ndarray, moves: np.ndarray, emitted: np.nd
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-    for batch in text_slices(batches):
-        for text in text_bytes(batch):
-            counts.update(tokens(text))
-        if len(counts) > COUNTED:
-            yield out()
-            counts.clear()
-    yield out()
+    kept, n, ends = [], 0, 0
+
+    def added() -> pa.Table:
+        return pa.concat_tables(kept).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    for batch in text_slices(batches, limit=SLICE):
+        words, ends = words_of(batch.column("text"))[0], ends + batch.num_rows
+        counts = words.value_counts()
+        kept.append(pa.table([counts.field("values"), counts.field("counts")], names=["word", "n"]))
+        n += len(counts)
+        if n > KEPT:
+            kept = [added()]
+            n = kept[0].num_rows
+            if n > COUNTED:
+                yield from kept[0].to_batches()
+                kept, n = [], 0
+    if ends:
+        kept.append(pa.table([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"]))
+        yield from added().to_batches()
+    release()
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -356,7 +398,7 @@ def _first_model(vocab: DataFrame, states: int, head: float) -> tuple[Model, np.
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES, 2), np.int64)
         for batch in batches:
-            at = np.array([word_class(w) for w in batch.column("word").to_pylist()], np.int64)
+            at = word_classes(batch.column("word"))
             total[:, 0] += np.bincount(at, weights=batch.column("c").to_numpy(), minlength=CLASSES).astype(np.int64)
             total[:, 1] += np.bincount(at, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["class", "n", "v"])
@@ -375,36 +417,55 @@ def _first_model(vocab: DataFrame, states: int, head: float) -> tuple[Model, np.
     return model, shares
 
 
+def _kind(symbols: int) -> type:
+    """How a symbol is written, if there are so many."""
+    return np.uint16 if symbols <= 1 << 16 else np.int32
+
+
 _ENCODED = "uid long, doc_id long, held_out boolean, symbols binary, words array<binary>, times array<long>"
 
 
 def _encoded(model: Model, rows: DataFrame) -> DataFrame:
-    """uid, doc_id, held_out of each text, its symbols (32 bits each), and its words that have none of their own, with their times."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    """uid, doc_id, held_out of each text, its symbols (of `_kind`), and its words that have none of their own, with their times."""
+    shared, kind = rows.sparkSession.sparkContext.broadcast(model), _kind(len(model.emit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        head, end = pa.array(own.head, pa.binary()), own.symbols[END]
         for batch in text_slices(batches, limit=SLICE):
-            symbols, words, times = [], [], []
-            for x in text_bytes(batch):
-                s, rare = own.encode(tokens(x))
-                seen = Counter(rare)
-                symbols.append(s.tobytes())
-                words.append(list(seen))
-                times.append(list(seen.values()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(symbols, pa.binary()), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=["uid", "doc_id", "held_out", "symbols", "words", "times"])
+            words, bounds = words_of(batch.column("text"))
+            found = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy().astype(np.int64)
+            at = np.flatnonzero(found < 0)
+            rare = words.take(pa.array(at)).dictionary_encode()
+            codes, distinct = rare.indices.to_numpy(), rare.dictionary
+            found[at] = len(own.head) + word_classes(distinct).take(codes)
+            symbols = np.insert(found, bounds[1:], end).astype(kind)
+            starts = (bounds + np.arange(len(bounds))) * symbols.itemsize
+            # A text's number and its word, together; there are fewer words than tokens in a slice.
+            of, times = np.unique((np.searchsorted(bounds, at, side="right") - 1) * max(1, len(distinct)) + codes, return_counts=True)
+            text, code = np.divmod(of, max(1, len(distinct)))
+            ends = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("uid", "doc_id", "held_out")),
+                    pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.array(starts, pa.int32()).buffers()[1], pa.py_buffer(symbols)]),
+                    pa.ListArray.from_arrays(ends, distinct.take(pa.array(code))),
+                    pa.ListArray.from_arrays(ends, pa.array(times, pa.int64())),
+                ],
+                names=["uid", "doc_id", "held_out", "symbols", "words", "times"],
+            )
 
     table = materialize(rows.select("uid", "doc_id", "held_out", "text").mapInArrow(run, _ENCODED), "lm-symbols")
     shared.unpersist()
     return table
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+def _held(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[list[np.ndarray]]:
     """Texts' symbols in lists of at most HELD tokens, or one text."""
     held, size = [], 0
     for batch in batches:
         for x in batch.column("symbols").to_pylist():
-            x = np.frombuffer(x, np.int32)
+            x = np.frombuffer(x, kind)
             if held and size + len(x) > HELD:
                 yield held
                 held, size = [], 0
@@ -421,15 +482,17 @@ def _baum_welch(model: Model, shares: np.ndarray, encoded: DataFrame) -> float:
     columns = [f"s{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, room = shared.value, _Room()
         n = len(own.emit)
         total = np.zeros((n + k + 2, k))  # emissions by symbol; moves by origin; starts; the likelihood
-        for held in _held(batches):
-            starts, moves, emitted, log = expected_counts(own, held)
+        for held in _held(batches, _kind(n)):
+            starts, moves, emitted, log = expected_counts(own, held, room=room)
             total[:n] += emitted
             total[n : n + k] += moves
             total[n + k] += starts
             total[n + k + 1, 0] += log
+        room.held.clear()
+        release()
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, i]) for i in range(k))], names=["symbol", *columns])
 
@@ -465,22 +528,23 @@ def score(encoded: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        n_head = len(own.head)
-        known = own.head_log > 0
+        own, room, kind = shared.value, _Room(), _kind(len(shared.value.emit))
+        # By symbol: what it adds to the base score, to the known words, and to the shares of words within classes.
+        rare = np.zeros(CLASSES)
+        base_of = np.concatenate([own.head_log, rare])
+        known_of = np.concatenate([own.head_log > 0, rare]).astype(np.int64)
+        inside_of = np.concatenate([np.zeros(len(own.head)), own.class_log])
         for batch in batches:
-            symbols = [np.frombuffer(x, np.int32) for x in batch.column("symbols").to_pylist()]
+            symbols = [np.frombuffer(x, kind) for x in batch.column("symbols").to_pylist()]
+            if not symbols:
+                continue
             likely = np.zeros(len(symbols))
             for part in _batches(symbols):
-                likely[part] = own.forward([symbols[i] for i in part])
-            base, head_known, inside = [], [], []
-            for s in symbols:
-                h = s[s < n_head]
-                base.append(own.head_log[h].sum())
-                head_known.append(int(known[h].sum()))
-                inside.append(own.class_log[s[s >= n_head] - n_head].sum())
+                likely[part] = own.forward([symbols[i] for i in part], room=room)
+            flat, starts = np.concatenate(symbols, dtype=np.intp), np.cumsum([0, *map(len, symbols[:-1])])
+            base, head_known, inside = (np.add.reduceat(x.take(flat), starts) for x in (base_of, known_of, inside_of))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(map(len, symbols), pa.int64()), pa.array(head_known, pa.int64()), pa.array(base, pa.float64()), pa.array(likely - np.array(inside))],
+                [*(batch.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(map(len, symbols), pa.int64()), pa.array(head_known, pa.int64()), pa.array(base, pa.float64()), pa.array(likely - inside)],
                 names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score"],
             )
 

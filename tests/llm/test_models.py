@@ -1,7 +1,9 @@
 import math
 import itertools
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,60 @@ def test_single_precision_holds_states_that_hardly_share_symbols():
             assert np.isfinite(a).all() and np.allclose(a, b, rtol=1e-2, atol=1e-2)
 
 
+def test_words_and_their_counts_are_those_of_tokens():
+    texts = [b"  A b\x0b\x0cc \t d ", b"", None, b" \n", "é\x1cq\x85r\xa0s\x00 Ä İ".encode(), b"\xffA B\xc3( \xe2\x82 A\xfe", b"x", b"ABCD\rabcd"]
+    column = pa.array(texts, pa.binary()).view(pa.string())
+    for x in (column, column.slice(1, 4), column.slice(0, 0)):
+        want = [hmm_lm.tokens(t or b"")[:-1] for t in x.view(pa.binary()).to_pylist()]
+        words, bounds = hmm_lm.words_of(x)
+        assert [words.to_pylist()[i:j] for i, j in itertools.pairwise(bounds)] == want
+        assert hmm_lm.word_classes(words).tolist() == [hmm_lm.word_class(w) for t in want for w in t]
+    counts = {}
+    for b in hmm_lm._count(iter([pa.RecordBatch.from_arrays([column], names=["text"])] * 3)):
+        for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
+            counts[w] = counts.get(w, 0) + n
+    every = [w for t in texts for w in hmm_lm.tokens(t or b"")] * 3
+    assert counts == {w: every.count(w) for w in every}
+
+
+def test_recursions_use_their_memory_again():
+    rng = np.random.default_rng(8)
+    emit = rng.dirichlet([1] * 500, 8).T.astype(np.float32)
+    m = hmm_lm.Model([b""], np.zeros(1), np.zeros(hmm_lm.CLASSES), 1, 1, np.full(8, 1 / 8, np.float32), rng.dirichlet([1] * 8, 8).astype(np.float32), emit)
+    texts, room = [rng.integers(0, 500, 300).astype(np.uint16) for _ in range(1000)], hmm_lm._Room()
+    texts.append(rng.integers(0, 500, 7000).astype(np.uint16))
+    want = hmm_lm.expected_counts(m, texts)
+    hmm_lm.expected_counts(m, texts[::-1] * 2, room=room)
+    tracemalloc.start()
+    got = hmm_lm.expected_counts(m, texts, room=room)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # It was more than 130 bytes a token.
+    assert peak < 16 * sum(map(len, texts))
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("n", [50, 66_000])
+def test_symbols_of_two_and_four_bytes(spark, n):
+    texts = [" ".join(f"w{x}" for x in np.random.default_rng(i).permutation(n)) for i in range(2)] + ["w1 rare rarer rare", None]
+    docs = spark.createDataFrame([(i, i, False, x) for i, x in enumerate(texts)], "uid long, doc_id long, held_out boolean, text string")
+    model, vocab, encoded = hmm_lm.train(docs, states=2, rounds=1)
+    words = [hmm_lm.tokens((x or "").encode()) for x in texts]
+    want = [model.encode(x) for x in words]
+    kind = np.uint16 if n == 50 else np.int32
+    for r in encoded.collect():
+        symbols, rare = want[r.uid]
+        assert np.array_equal(np.frombuffer(r.symbols, kind), symbols)
+        assert dict(zip(map(bytes, r.words), r.times)) == {w: rare.count(w) for w in rare}
+    first, shares = hmm_lm._first_model(vocab, 2, hmm_lm.HEAD)
+    hmm_lm.maximise(first, *hmm_lm.expected_counts(first, [x for x, _ in want])[:3], shares)
+    assert np.allclose(model.emit, first.emit, rtol=1e-4)
+    c = {r.word: r.c for r in vocab.collect()}
+    for r in hmm_lm.score(encoded, model, vocab).collect():
+        assert r.n_tokens == r.n_known == len(words[r.uid])
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (model.n + model.v + 1)) for w in words[r.uid]))
+
+
 def test_scores_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, "A b a", "x"), (2, None, "x"), (3, "zzz a", "x"), (3, "zzz a", "x"), (None, "b", "x")], "doc_id long, text string, uid string")
     rows = {r.doc_id: r for r in hmm_lm.score_documents(docs, F.col("doc_id") == 3, rounds=1).collect()}
